@@ -73,4 +73,7 @@ def with_ctes(names: str, body: str, local: str = "") -> str:
     parts = [f"{n} AS MATERIALIZED ({CTES[n][1]})" for n in seen]
     if local:
         parts.append(local)
+    body = body.strip()
+    if body.startswith(","):  # the body opens with further pieces of its own
+        return "WITH RECURSIVE " + ",\n".join(parts) + body
     return "WITH RECURSIVE " + ",\n".join(parts) + "\n" + body
