@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from chronowarn.functions import clock
 from chronowarn.functions.ordering import weighted_quantile
 from chronowarn.operators.windows import qualifying_runs
+from chronowarn.session import materialise
 
 DOMAINS = ("S1", "E1", "A1")
 
@@ -42,13 +43,17 @@ def fit_criteria(stable: DataFrame, quantile: float, minimum_people: int) -> Dat
     when fewer than ``minimum_people`` people contribute.
     """
     long = stable.select("participant_id", F.explode(F.array(*[
-        F.struct(F.lit(d).alias("domain"), F.col(d).cast("double").alias("level"), F.greatest(F.lit(0.0), F.col(d) - F.col(f"anchor_{d}")).alias("change"))
-        for d in DOMAINS])).alias("z")).select("participant_id", "z.*").filter("level IS NOT NULL AND change IS NOT NULL")
-    weighted = long.join(long.groupBy("participant_id", "domain").agg((F.lit(1.0) / F.count(F.lit(1))).alias("weight")), ["participant_id", "domain"])
-    absolute = weighted_quantile(weighted, "level", "weight", quantile, by=["domain"]).withColumnRenamed("quantile", "absolute")
-    increase = weighted_quantile(weighted, "change", "weight", quantile, by=["domain"]).withColumnRenamed("quantile", "increase")
-    people = long.groupBy("domain", "participant_id").agg(F.lit(1).alias("one")).groupBy("domain").agg(F.count(F.lit(1)).alias("people"))
-    return absolute.join(increase, "domain").join(people, "domain").filter(F.col("people") >= minimum_people)
+        F.struct(F.lit(d).alias("domain"), F.col(d).cast("double").alias("level"), F.col(f"anchor_{d}").alias("anchor"))
+        for d in DOMAINS])).alias("z")).select("participant_id", "z.*").filter("level IS NOT NULL AND anchor IS NOT NULL")
+    own = F.count(F.lit(1)).over(W.partitionBy("participant_id", "domain"))
+    change = F.greatest(F.lit(0.0), F.col("level") - F.col("anchor"))
+    weighted = materialise(long.select("participant_id", "domain", (F.lit(1.0) / own).alias("weight"), F.explode(F.array(
+        F.struct(F.lit("absolute").alias("bound"), F.col("level").alias("value")),
+        F.struct(F.lit("increase").alias("bound"), change.alias("value")))).alias("z")).select("participant_id", "domain", "weight", "z.*"), "criteria")
+    bounds = weighted_quantile(weighted, "value", "weight", quantile, by=["domain", "bound"])
+    wide = bounds.groupBy("domain").agg(*[F.max(F.when(F.col("bound") == b, F.col("quantile"))).alias(b) for b in ("absolute", "increase")])
+    people = weighted.select("domain", "participant_id").distinct().groupBy("domain").agg(F.count(F.lit(1)).alias("people"))
+    return wide.join(people, "domain").filter(F.col("people") >= minimum_people)
 
 
 def freeze_criteria(criteria: DataFrame) -> dict[str, tuple[float, float]]:

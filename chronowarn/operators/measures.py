@@ -87,9 +87,10 @@ def activity_summary(profiles: DataFrame, hours: str = "hours") -> DataFrame:
     h = F.when(complete, F.col(hours))
     p = profiles.withColumn("__ten", _cyclic_means(h, 10)).withColumn("__five", _cyclic_means(h, 5))
     p = p.withColumn("m10", F.array_max("__ten")).withColumn("l5", F.array_min("__five"))
-    near = F.filter(F.col("__ten"), lambda v: F.abs(v - F.col("m10")) <= F.lit(1e-12) * F.abs(F.col("m10")))
+    ranked = F.sort_array("__ten", asc=False)
+    tied = F.get(ranked, F.lit(1)) >= F.col("m10") - F.lit(1e-12) * F.abs(F.col("m10"))
     start = F.array_position("__ten", F.col("m10")) - 1
-    return (p.withColumn("activity_m10_start_h", F.when((F.col("m10") > F.col("l5")) & (F.size(near) == 1), start.cast("double")))
+    return (p.withColumn("activity_m10_start_h", F.when((F.col("m10") > F.col("l5")) & ~tied, start.cast("double")))
             .withColumn("activity_ra", F.when(F.col("m10") + F.col("l5") > 0, ratio(F.col("m10") - F.col("l5"), F.col("m10") + F.col("l5"))))
             .withColumn("activity_total", F.aggregate(h, F.lit(0.0), lambda a, v: a + v))
             .drop("__ten", "__five"))
@@ -99,20 +100,21 @@ def activity_regularity(days: Column, minimum: int = 6) -> Column:
     """1 - interdaily stability from a bounded array of complete 24-hour profiles."""
     n = F.size(days)
     flat = F.flatten(days)
-    grand = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v) / (n * 24)
-    spread = F.aggregate(flat, F.lit(0.0), lambda a, v: a + (v - grand) * (v - grand))
-    by_hour = F.transform(F.sequence(F.lit(0), F.lit(23)),
-                          lambda h: F.aggregate(days, F.lit(0.0), lambda a, d: a + d[h]) / n)
-    between = F.aggregate(by_hour, F.lit(0.0), lambda a, m: a + (m - grand) * (m - grand))
-    stability = F.try_divide(n * between, spread)
+    total = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v)
+    squares = F.aggregate(flat, F.lit(0.0), lambda a, v: a + v * v)
+    by_hour = F.transform(F.sequence(F.lit(0), F.lit(23)), lambda h: F.aggregate(days, F.lit(0.0), lambda a, d: a + d[h]))
+    hour_squares = F.aggregate(by_hour, F.lit(0.0), lambda a, m: a + m * m)
+    grand = total * total / (n * 24)
+    spread = squares - grand
+    stability = F.try_divide(hour_squares / n - grand, spread)
     return F.when((n >= minimum) & (spread > 0), F.lit(1.0) - F.least(F.lit(1.0), F.greatest(F.lit(0.0), stability)))
 
 
 def intradaily_variability(hours: Column) -> Column:
     """Successive squared change against total squared deviation of one 24-hour profile."""
     n = F.size(hours)
-    mean = F.aggregate(hours, F.lit(0.0), lambda a, v: a + v) / n
-    spread = F.aggregate(hours, F.lit(0.0), lambda a, v: a + (v - mean) * (v - mean))
+    total = F.aggregate(hours, F.lit(0.0), lambda a, v: a + v)
+    spread = F.aggregate(hours, F.lit(0.0), lambda a, v: a + v * v) - total * total / n
     steps = F.zip_with(F.slice(hours, F.lit(2), n - 1), F.slice(hours, F.lit(1), n - 1), lambda b, a: (b - a) * (b - a))
     change = F.aggregate(steps, F.lit(0.0), lambda a, v: a + v)
     complete = F.forall(hours, lambda v: v.isNotNull())

@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 from chronowarn.functions import clock
 from chronowarn.operators import panel, splits
 from chronowarn.plans.registry import cte, sql_pmod, table
+from chronowarn.session import shared_table
 
 SEED = 20261001
 FEATURES = ("n_events", "value_sum", "value_mean", "value_max", "first_h", "last_h", "mean_h")
@@ -44,7 +45,7 @@ FROM obs_local""", "obs_local")
 
 
 def daily(spark, folder) -> DataFrame:
-    return panel.daily_panel(observations(spark, folder))
+    return shared_table(spark, folder, "daily", lambda: panel.daily_panel(observations(spark, folder)))
 
 
 cte("daily", f"""
@@ -57,7 +58,7 @@ FROM obs_day GROUP BY ALL""", "obs_day")
 
 def roles(spark, folder) -> DataFrame:
     people = table(spark, folder, "events").select(F.col("user_id").alias("participant_id"))
-    return splits.split_people(people, "participant_id", SEED)
+    return shared_table(spark, folder, "roles", lambda: splits.split_people(people, "participant_id", SEED))
 
 
 cte("roles", f"""
@@ -103,8 +104,10 @@ def frozen_scaler(spark, folder) -> panel.FrozenScaler:
 
 def scaled(spark, folder) -> DataFrame:
     """Every person-day with its standardised vector ``vec`` and mean absolute deviation ``score``."""
-    out = daily(spark, folder).withColumn("vec", frozen_scaler(spark, folder).vector())
-    return out.withColumn("score", panel.mean_abs_deviation(F.col("vec")))
+    def build():
+        out = daily(spark, folder).withColumn("vec", frozen_scaler(spark, folder).vector())
+        return out.withColumn("score", panel.mean_abs_deviation(F.col("vec")))
+    return shared_table(spark, folder, "scaled", build)
 
 
 cte("dayscore", "SELECT participant_id, day, avg(abs(z)) AS score FROM zlong GROUP BY ALL", "zlong")

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chronowarn.functions import clock
-from chronowarn.operators import alarm, panel
+from chronowarn.operators import alarm, panel, splits
 from chronowarn.plans import base
 from chronowarn.plans.registry import query, rnd, sql_pmod, sql_rnd, table, with_ctes
 
@@ -118,7 +118,7 @@ def _(spark, folder):
 @query("a06_daily_panel", "A6", with_ctes("daily", "SELECT participant_id, timezone, day, " + ", ".join(
     f"{sql_rnd(f)} AS {f}" for f in base.FEATURES) + " FROM daily"))
 def _(spark, folder):
-    d = base.daily(spark, folder)
+    d = panel.daily_panel(base.observations(spark, folder))
     return d.select("participant_id", "timezone", "day", *[rnd(f).alias(f) for f in base.FEATURES])
 
 
@@ -135,7 +135,8 @@ def _(spark, folder):
 
 @query("t06_people_roles", "T6", with_ctes("roles", "SELECT * FROM roles"))
 def _(spark, folder):
-    return base.roles(spark, folder)
+    people = table(spark, folder, "events").select(F.col("user_id").alias("participant_id"))
+    return splits.split_people(people, "participant_id", base.SEED)
 
 
 @query("a21_reference_freeze", "A21", with_ctes("refdays", "SELECT participant_id, day, " + ", ".join(

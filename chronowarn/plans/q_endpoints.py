@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from chronowarn.functions import clock
 from chronowarn.operators import endpoints, windows
 from chronowarn.plans import base, q_windows
+from chronowarn.session import shared_table
 from chronowarn.plans.registry import cte, query, rnd, sql_rnd, with_ctes
 
 Q = 0.4
@@ -28,6 +29,10 @@ def outcomes_as_of(spark, folder):
 
 
 def anchored(spark, folder):
+    return shared_table(spark, folder, "anchored", lambda: _anchored(spark, folder))
+
+
+def _anchored(spark, folder):
     o = outcomes_as_of(spark, folder)
     a = endpoints.personal_anchor(o, minimum=4)
     start = o.groupBy("participant_id").agg(F.min("day").alias("baseline_start"))
@@ -40,12 +45,16 @@ def criteria(spark, folder):
 
 
 def assessments(spark, folder):
+    return shared_table(spark, folder, "assessments", lambda: _assessments(spark, folder))
+
+
+def _assessments(spark, folder):
     rows = anchored(spark, folder).join(_role(spark, folder, "reference"), "participant_id", "left_anti")
     return endpoints.assess(rows, endpoints.freeze_criteria(criteria(spark, folder)))
 
 
 def events(spark, folder, first_only=True):
-    return endpoints.detect_events(assessments(spark, folder), first_only=first_only)
+    return shared_table(spark, folder, f"events_{first_only}", lambda: endpoints.detect_events(assessments(spark, folder), first_only=first_only))
 
 
 def forecasts(spark, folder):
@@ -59,18 +68,22 @@ def forecasts(spark, folder):
 
 
 def labels(spark, folder):
+    return shared_table(spark, folder, "labels", lambda: _labels(spark, folder))
+
+
+def _labels(spark, folder):
     spine = windows.calendar_spine(base.daily(spark, folder).select("participant_id", "day"))
     return endpoints.future_labels(forecasts(spark, folder), events(spark, folder), spine, **HORIZON)
 
 
-cte("asof", """
+cte("asof_rows", """
 SELECT o.*, z.timezone, greatest(((CAST(o.day + 1 AS TIMESTAMP) + INTERVAL 4 HOUR) AT TIME ZONE z.timezone) AT TIME ZONE 'UTC',
   max(a.arrived) OVER (PARTITION BY o.participant_id ORDER BY o.day ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)) AS available_at, min(o.day) OVER (PARTITION BY o.participant_id) AS b0
 FROM outcomes o JOIN (SELECT DISTINCT participant_id, timezone FROM obs) z USING (participant_id)
 LEFT JOIN (SELECT participant_id, day, max(available_at) AS arrived FROM obs_day GROUP BY ALL) a ON a.participant_id = o.participant_id AND a.day = o.day""", "outcomes obs obs_day")
 cte("anchor", """
-SELECT participant_id, median(S1) AS aS1, median(E1) AS aE1, median(A1) AS aA1 FROM asof WHERE day - b0 BETWEEN 6 AND 13 AND S1 IS NOT NULL AND E1 IS NOT NULL AND A1 IS NOT NULL GROUP BY 1 HAVING count(*) >= 4""", "asof")
-cte("anchored", "SELECT o.*, aS1, aE1, aA1 FROM asof o LEFT JOIN anchor USING (participant_id) WHERE o.day - o.b0 >= 14", "asof anchor")
+SELECT participant_id, median(S1) AS aS1, median(E1) AS aE1, median(A1) AS aA1 FROM asof_rows WHERE day - b0 BETWEEN 6 AND 13 AND S1 IS NOT NULL AND E1 IS NOT NULL AND A1 IS NOT NULL GROUP BY 1 HAVING count(*) >= 4""", "asof_rows")
+cte("anchored", "SELECT o.*, aS1, aE1, aA1 FROM asof_rows o LEFT JOIN anchor USING (participant_id) WHERE o.day - o.b0 >= 14", "asof_rows anchor")
 cte("critrows", " UNION ALL ".join(
     f"SELECT participant_id, '{d}' AS domain, {d} AS level, greatest(0, {d} - a{d}) AS change FROM anchored WHERE {d} IS NOT NULL AND a{d} IS NOT NULL AND participant_id IN (SELECT participant_id FROM roles WHERE role = 'reference')"
     for d in endpoints.DOMAINS), "anchored roles")

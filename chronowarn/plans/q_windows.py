@@ -6,6 +6,7 @@ from chronowarn.functions import clock
 from chronowarn.functions.ordering import average_ranks
 from chronowarn.operators import measures, windows
 from chronowarn.plans import base
+from chronowarn.session import shared_table
 from chronowarn.plans.registry import cte, query, rnd, sql_pmod, sql_rnd, table, with_ctes
 
 
@@ -175,8 +176,9 @@ def daily_profiles(spark, folder):
 
 
 def outcomes(spark, folder):
-    spine = windows.calendar_spine(daily_profiles(spark, folder))
-    return windows.rolling_outcomes(spine)
+    def build():
+        return windows.rolling_outcomes(windows.calendar_spine(daily_profiles(spark, folder)))
+    return shared_table(spark, folder, "outcomes", build)
 
 
 cte("spine", """SELECT participant_id, CAST(unnest(generate_series(a, b, INTERVAL 1 DAY)) AS DATE) AS day FROM (SELECT participant_id, min(day) AS a, max(day) AS b FROM daily GROUP BY 1)""", "daily")
@@ -262,12 +264,12 @@ def _(spark, folder):
 
 
 @query("w06_trailing_trends", "W6", with_ctes("daily", "SELECT participant_id, day, " + ", ".join(
-    f"{sql_rnd(f'avg(value_sum) OVER w{w}', 5)} AS mean{w}_value_sum, {sql_rnd(f'stddev_samp(value_sum) OVER w{w}', 5)} AS sd{w}_value_sum, CASE WHEN count(*) OVER w{w} > 1 THEN {sql_rnd(f'regr_slope(value_sum, i) OVER w{w}', 5)} END AS slope{w}_value_sum" for w in (7, 14, 28)) +
+    f"{sql_rnd(f'avg(value_sum) OVER w{w}', 7)} AS mean{w}_value_sum, {sql_rnd(f'stddev_samp(value_sum) OVER w{w}', 7)} AS sd{w}_value_sum, CASE WHEN count(*) OVER w{w} > 1 THEN {sql_rnd(f'regr_slope(value_sum, i) OVER w{w}', 7)} END AS slope{w}_value_sum" for w in (7, 14, 28)) +
     " FROM (SELECT *, row_number() OVER (PARTITION BY participant_id ORDER BY day) AS i FROM daily) WINDOW " + ", ".join(
     f"w{w} AS (PARTITION BY participant_id ORDER BY i ROWS BETWEEN {w - 1} PRECEDING AND CURRENT ROW)" for w in (7, 14, 28))))
 def _(spark, folder):
     t = windows.trailing_trends(base.daily(spark, folder), ["value_sum"], (7, 14, 28))
-    return t.select("participant_id", "day", *[rnd(f"{k}{w}_value_sum", 5).alias(f"{k}{w}_value_sum") for w in (7, 14, 28) for k in ("mean", "sd", "slope")])
+    return t.select("participant_id", "day", *[rnd(f"{k}{w}_value_sum", 7).alias(f"{k}{w}_value_sum") for w in (7, 14, 28) for k in ("mean", "sd", "slope")])
 
 
 CAPACITY_SQL = """

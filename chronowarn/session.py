@@ -1,5 +1,7 @@
 """Session settings shared by jobs, tests and the benchmark."""
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -31,3 +33,40 @@ def checkpoint_root(spark: SparkSession) -> str:
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+def materialise(df, label: str):
+    """Write an intermediate once to the shared folder and read it back: lineage ends here.
+
+    Parquet keeps column pruning and gives later joins true sizes, and a lost executor
+    only re-reads files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
+
+
+_WRITTEN: dict[tuple[str, str, str], str] = {}
+
+
+def shared_table(spark: SparkSession, folder: str, label: str, build):
+    """A panel table several queries read: built on first use in a session, then re-read."""
+    key = (spark.sparkContext.applicationId, folder, label)
+    path = _WRITTEN.get(key)
+    if path and _readable(spark, path):
+        return spark.read.parquet(path)
+    path = f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
+    build().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
+def forget_shared_tables() -> None:
+    """Make the next query build its own panel tables (used for cold timings)."""
+    _WRITTEN.clear()
+
+
+def _readable(spark: SparkSession, path: str) -> bool:
+    marker = spark._jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
+    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
