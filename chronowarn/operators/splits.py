@@ -21,12 +21,11 @@ def split_people(people: DataFrame, id_col: str, seed: int, fractions=FRACTIONS,
 
 
 def stratified_roles(people: DataFrame, id_col: str, stratum: str, seed: int) -> DataFrame:
-    """Ten percent test and, in strata of five or more, ten percent validation (each at least one)."""
+    """In strata of five or more people a tenth (at least one) is test and the next tenth validation."""
     ranked = hash_rank(people.select(id_col, stratum).distinct(), id_col, seed, by=[stratum])
     n, r = F.col("hash_rank_n"), F.col("hash_rank")
-    tenth = F.greatest(F.lit(1), F.floor(n / 10.0 + 0.5)).cast("int")
-    role = (F.when((n >= 2) & (r <= tenth), "test")
-            .when((n >= 5) & (r <= 2 * tenth), "validation").otherwise("train"))
+    tenth = F.when(n >= 5, F.greatest(F.lit(1), F.bround(n * 0.1).cast("int"))).otherwise(0)
+    role = F.when(r <= tenth, "test").when(r <= 2 * tenth, "validation").otherwise("train")
     return ranked.select(id_col, stratum, role.alias("role"))
 
 
