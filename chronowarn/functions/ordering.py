@@ -71,3 +71,20 @@ def weighted_quantile(df: DataFrame, value_col: str, weight_col: str, q: float,
     totals = running_totals(mass, value_col, ["w"], by=by)
     reached = totals.filter(F.col("cum_w") >= F.col("total_w") * F.lit(q) - F.col("total_w") * F.lit(1e-12))
     return reached.groupBy(*by).agg(F.min(value_col).alias("quantile"))
+
+
+def previous_row(df: DataFrame, by, order_col: str, payload: list[str], buckets: int | None = None) -> DataFrame:
+    """Add ``prev`` (struct of the preceding row's payload) within each group, NULL for the first.
+
+    A busy group is cut into order buckets; only the last row of each bucket crosses to
+    the next one, so no task holds a whole group.
+    """
+    by = list(by)
+    rows = df.withColumn("__b", bucket_of(order_col, cut_points(df, order_col, buckets)))
+    item = F.struct(*payload)
+    inner = W.partitionBy(*by, "__b").orderBy(order_col)
+    rows = rows.withColumn("__p", F.lag(item).over(inner)).withColumn("__first", F.row_number().over(inner) == 1)
+    tails = rows.groupBy(*by, "__b").agg(F.max_by(item, F.col(order_col)).alias("__tail"))
+    carry = tails.withColumn("__carry", F.lag("__tail").over(W.partitionBy(*by).orderBy("__b"))).drop("__tail")
+    joined = rows.join(carry, [*by, "__b"], "left")
+    return joined.withColumn("prev", F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__p"))).drop("__b", "__p", "__first", "__carry")

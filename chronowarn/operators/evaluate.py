@@ -21,13 +21,12 @@ def rank_metrics(rows: DataFrame, label: str, score: str, by: Sequence[str] = ()
     known = rows.filter(F.col(label).isNotNull() & F.col(score).isNotNull())
     w = F.col(weight) if weight else F.lit(1.0)
     counts = known.groupBy(*by, score).agg(
-        F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("p"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("q"))
-    r = running_totals(counts, score, ["p", "q"], by=by, descending=True)
-    above = F.col("cum_p") - F.col("p")
-    pairs = F.col("q") * (above + F.col("p") / 2)
-    precision = ratio(F.col("cum_p"), F.col("cum_p") + F.col("cum_q"))
-    grouped = r.groupBy(*by).agg(F.sum(pairs).alias("wins"), F.max("total_p").alias("P"), F.max("total_q").alias("N"),
-                                 F.sum(precision * F.col("p")).alias("area"))
+        F.sum(F.when(F.col(label) == 1, w).otherwise(0.0)).alias("pos"), F.sum(F.when(F.col(label) == 0, w).otherwise(0.0)).alias("neg"))
+    r = running_totals(counts, score, ["pos", "neg"], by=by, descending=True)
+    wins = F.col("neg") * (F.col("cum_pos") - F.col("pos") + F.col("pos") / 2)
+    precision = ratio(F.col("cum_pos"), F.col("cum_pos") + F.col("cum_neg"))
+    grouped = r.groupBy(*by).agg(F.sum(wins).alias("wins"), F.max("total_pos").alias("P"), F.max("total_neg").alias("N"),
+                                 F.sum(precision * F.col("pos")).alias("area"))
     both = (F.col("P") > 0) & (F.col("N") > 0)
     return grouped.select(*by, F.when(both, F.try_divide(F.col("wins"), F.col("P") * F.col("N"))).alias("roc_auc"),
                           F.when(both, F.try_divide("area", "P")).alias("average_precision"))
