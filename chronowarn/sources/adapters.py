@@ -91,11 +91,10 @@ def fitness_days(daily: DataFrame, hourly_sd: DataFrame, keys=("participant_id",
     """Daily tracker rows with hourly variation attached, out-of-range cells blanked, inconsistent sleep dropped,
     and rows without any measure left out."""
     d = daily.join(hourly_sd, list(keys), "left")
-    asleep = bounded_number("asleep_h", 0, 24)
-    in_bed = bounded_number("in_bed_h", 0, 24)
-    bad = F.coalesce(in_bed < asleep, F.lit(False))
-    d = d.withColumn("asleep_h", F.when(~bad, asleep)).withColumn("in_bed_h", F.when(~bad, in_bed)).withColumn("dropped_sleep", bad)
-    return d.filter(F.coalesce("asleep_h", "in_bed_h", "hourly_sd").isNotNull())
+    d = d.withColumn("__a", bounded_number("asleep_h", 0, 24)).withColumn("__b", bounded_number("in_bed_h", 0, 24))
+    d = d.withColumn("dropped_sleep", F.coalesce(F.col("__b") < F.col("__a"), F.lit(False)))
+    d = d.withColumn("asleep_h", F.when(~F.col("dropped_sleep"), F.col("__a"))).withColumn("in_bed_h", F.when(~F.col("dropped_sleep"), F.col("__b")))
+    return d.drop("__a", "__b").filter(F.coalesce("asleep_h", "in_bed_h", "hourly_sd").isNotNull())
 
 
 def sensor_or_diary(sensor: DataFrame, diary: DataFrame, value: str, keys=("participant_id", "day")) -> DataFrame:
