@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronowarn.operators import evaluate
 from chronowarn.operators.splits import grouped_stratified_folds
+from chronowarn.session import materialise
 
 
 def person_weights(rows: DataFrame, person: str) -> DataFrame:
@@ -73,13 +74,14 @@ def out_of_fold(rows: DataFrame, spec: dict, features: Sequence[str], *, person:
     """Predictions of models that never saw the person, fold by fold."""
     assigned = grouped_stratified_folds(rows, person, label, seed, folds).select(person, "fold")
     data, indicators = with_indicators(rows.join(assigned, person), features)
+    data = materialise(data, "folds")
     parts = None
     for k in range(folds):
-        train = person_weights(data.filter(F.col("fold") != k), person)
+        train = materialise(person_weights(data.filter(F.col("fold") != k), person), "train")
         held = data.filter(F.col("fold") == k)
         scored = probability(held, learner(spec, features, indicators, label, seed=seed).fit(train)).select(*rows.columns, "fold", "p")
         parts = scored if parts is None else parts.unionByName(scored)
-    return parts
+    return materialise(parts, "out-of-fold")
 
 
 def select_learner(rows: DataFrame, specs: Sequence[dict], features: Sequence[str], *, person: str, label: str, seed: int, folds: int = 3) -> tuple[dict, list[tuple[dict, float]]]:

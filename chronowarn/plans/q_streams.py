@@ -44,8 +44,8 @@ def _(spark, folder):
 
 
 @query("r02_fixed_zone_windows", "R2", """
-SELECT event_type AS variable, CAST(ts - INTERVAL 4 HOUR AS DATE) AS day, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL
-HAVING CAST(CAST(ts - INTERVAL 4 HOUR AS DATE) AS TIMESTAMP) + INTERVAL 28 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR""")
+SELECT variable, day, CAST(count(*) AS BIGINT) AS n, round(sum(value), 4) AS total FROM (SELECT event_type AS variable, CAST(ts - INTERVAL 4 HOUR AS DATE) AS day, value FROM events)
+WHERE CAST(day AS TIMESTAMP) + INTERVAL 28 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 24 HOUR GROUP BY variable, day""")
 def _(spark, folder):
     o = base.observations(spark, folder).select("variable", "start_at", "value")
     return _drain(alarms.fixed_zone_days(_stream_of(o, "fixed")), "windows").withColumn("total", F.round("total", 4))

@@ -81,3 +81,43 @@ def input_view(df: DataFrame, allowed) -> DataFrame:
     if extra:
         raise ValueError(f"columns not allowed in an input view: {extra}")
     return df
+
+
+def read_sessions(spark: SparkSession, path: str, header: str, columns) -> DataFrame:
+    """Delimited rows that follow a header line inside a mixed text file, with an order check.
+
+    Each file's header position is found first (one small row per file); lines are kept by
+    comparing their position in the file with it.
+    """
+    lines = spark.read.option("wholetext", "false").text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    heads = lines.filter(F.col("value") == header).groupBy("file").agg(F.min("at").alias("head_at"))
+    body = lines.join(F.broadcast(heads), "file").filter((F.col("at") > F.col("head_at")) & (F.trim("value") != ""))
+    parts = F.split("value", ",")
+    out = body.filter(F.size(parts) == len(columns)).select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
+    return out
+
+
+def seal_packet(rows: DataFrame, folder: str, parts: dict[str, list[str]]) -> DataFrame:
+    """Write column groups of one plan as separate tables, so answers never travel with inputs; returns a manifest."""
+    from chronowarn.sources.store import digest
+
+    manifest = None
+    for name, columns in parts.items():
+        target = f"{folder}/{name}"
+        rows.select(*columns).write.mode("errorifexists").parquet(target)
+        stored = rows.sparkSession.read.parquet(target)
+        entry = digest(stored).select(F.lit(name).alias("part"), F.lit(",".join(columns)).alias("columns"), "rows", "digest_a", "digest_b")
+        manifest = entry if manifest is None else manifest.unionByName(entry)
+    return manifest
+
+
+def normalise_fields(rows: DataFrame, key: str, specs: dict[str, tuple[float, float]]) -> DataFrame:
+    """Wide monitoring rows to (record, field, raw, value, state): valid, missing, unreadable or out of range."""
+    from chronowarn.sources.adapters import is_missing
+
+    cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high")) for f, (lo, hi) in specs.items()]
+    long = rows.select(key, F.explode(F.array(*cells)).alias("z")).select(key, "z.*")
+    number = F.col("raw").try_cast("double")
+    state = F.when(is_missing("raw"), "missing").when(number.isNull(), "unreadable").when(~number.between(F.col("low"), F.col("high")), "out_of_range").otherwise("valid")
+    return long.withColumn("state", state).withColumn("value", F.when(F.col("state") == "valid", number)).drop("low", "high")
