@@ -88,3 +88,23 @@ def previous_row(df: DataFrame, by, order_col: str, payload: list[str], buckets:
     carry = tails.withColumn("__carry", F.lag("__tail").over(W.partitionBy(*by).orderBy("__b"))).drop("__tail")
     joined = rows.join(carry, [*by, "__b"], "left")
     return joined.withColumn("prev", F.when(F.col("__first"), F.col("__carry")).otherwise(F.col("__p"))).drop("__b", "__p", "__first", "__carry")
+
+
+def linear_quantiles(df: DataFrame, value_col: str, shares: dict[str, float], by=()) -> DataFrame:
+    """Exact linear-interpolation quantiles, one named column per share.
+
+    Distinct values are counted, cumulated in buckets and looked up by position, so no
+    task gathers a whole group.
+    """
+    by = list(by)
+    counts = df.filter(F.col(value_col).isNotNull()).groupBy(*by, value_col).agg(F.count(F.lit(1)).alias("n"))
+    r = running_totals(counts, value_col, ["n"], by=by)
+    aggs = []
+    for name, q in shares.items():
+        position = F.lit(q) * (F.col("total_n") - 1)
+        low = F.floor(position)
+        aggs += [F.min(F.when(F.col("cum_n") > low, F.col(value_col))).alias(f"__lo_{name}"),
+                 F.min(F.when(F.col("cum_n") > F.least(low + 1, F.col("total_n") - 1), F.col(value_col))).alias(f"__hi_{name}"),
+                 F.max(position - low).alias(f"__f_{name}")]
+    out = r.groupBy(*by).agg(*aggs)
+    return out.select(*by, *[(F.col(f"__lo_{n}") + (F.col(f"__hi_{n}") - F.col(f"__lo_{n}")) * F.col(f"__f_{n}")).alias(n) for n in shares])

@@ -73,6 +73,12 @@ def empirical_threshold(rows: DataFrame, label: str, p: str, target_precision: f
 
 # ---- alarms against events -------------------------------------------------------------
 
+def registry_conflicts(days: DataFrame, events: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Positive labels whose onset is not the registered first event of that person."""
+    keys = [*by, "participant_id", "onset"]
+    return days.filter("label = 1").select(*keys).distinct().join(events.select(*keys), keys, "left_anti")
+
+
 def event_metrics(days: DataFrame, events: DataFrame, threshold, *, by: Sequence[str] = (), consecutive: int = 2,
                   cooldown_days: int = 7, ranks: bool = True) -> DataFrame:
     """Event-level and day-level performance of one frozen threshold per group.
@@ -136,7 +142,8 @@ def threshold_steps(days: DataFrame, *, by: Sequence[str] = (), consecutive: int
     own = F.transform(F.filter("r", lambda x: x["score"].isNotNull()),
                       lambda x: F.struct(x["score"].alias("threshold"), x["label"].isNotNull().alias("valid")))
     steps = people.withColumn("t", F.explode(F.array_union(F.array(zero), F.array_distinct(own))))
-    steps = steps.groupBy(*keys, F.col("t.threshold").alias("threshold")).agg(F.max("t.valid").alias("valid"), F.first("r").alias("r"))
+    # a score met on labelled and unlabelled days appears twice; the second copy changes no count
+    steps = steps.select(*keys, "t.threshold", "t.valid", "r")
     t = F.col("threshold")
     fields = ", ".join(f"{c}:int" for c in SWEEP)
     state = f"struct<last_day:date,last_alarm:date,run:int,{fields}>"

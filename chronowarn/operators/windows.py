@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronowarn.functions import clock
+from chronowarn.functions.ordering import previous_row, running_totals
 from chronowarn.operators.measures import activity_regularity
 
 MICROS_PER_DAY = 86_400_000_000
@@ -149,12 +150,21 @@ def first_n(rows: DataFrame, n: int, order: str = "day") -> DataFrame:
 
 
 def relative_days(rows: DataFrame, key: str, order: str, weekday: str) -> DataFrame:
-    """Day index rising by one at each weekday change; ``bad_step`` marks a change of more than a day."""
-    w = W.partitionBy(key).orderBy(order)
-    prior = F.lag(weekday).over(w)
-    staged = rows.withColumn("__c", F.coalesce((prior != F.col(weekday)).cast("int"), F.lit(0))).withColumn(
+    """Day index rising by one at each weekday change; ``bad_step`` marks a change of more than a day.
+
+    Raw answers of one person may be many, so both passes cut a person's rows into order buckets.
+    """
+    prior = F.col("prev")[weekday]
+    staged = previous_row(rows, [key], order, [weekday])
+    staged = staged.withColumn("step", F.coalesce((prior != F.col(weekday)).cast("int"), F.lit(0))).withColumn(
         "bad_step", F.coalesce((prior != F.col(weekday)) & (F.col(weekday) != F.pmod(prior + 1, F.lit(7))), F.lit(False)))
-    return staged.withColumn("day_index", F.sum("__c").over(w.rowsBetween(W.unboundedPreceding, 0))).drop("__c")
+    return running_totals(staged, order, ["step"], by=[key]).withColumn("day_index", F.col("cum_step")).drop("cum_step", "total_step", "step", "prev")
+
+
+def occasion_numbers(rows: DataFrame, key: str, order: str, out: str = "occasion") -> DataFrame:
+    """1, 2, 3, ... in source order within each key, without one task per key."""
+    counted = running_totals(rows.withColumn("__one", F.lit(1)), order, ["__one"], by=[key])
+    return counted.withColumn(out, F.col("cum___one").cast("int")).drop("__one", "cum___one", "total___one")
 
 
 def personal_baseline(panel: DataFrame, features: Sequence[str], clocks: Sequence[str], baseline_days: int) -> DataFrame:

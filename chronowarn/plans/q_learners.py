@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from chronowarn.functions import textkeys
+from chronowarn.functions.ordering import linear_quantiles
 from chronowarn.operators import evaluate, learners, network, windows
 from chronowarn.plans import base, q_evaluate, q_text
 from chronowarn.plans.registry import query, rnd, table, with_ctes, sql_rnd
@@ -97,7 +98,7 @@ def _(spark, folder):
         ref = network.freeze_reference(rows.filter(F.col("fold") == (k + 1) % 3), p)
         both = network.personal_scores(network.perturb(rows.filter(F.col("fold") != (k + 1) % 3), ref, p), ("participant_id", "day", "fold"), base.FEATURES)
         both = materialise(both, "fold-scores")
-        cut = both.filter(F.col("fold") == (k + 2) % 3).agg(F.percentile_approx("personal_score", 0.9, 100000)).first()[0]
+        cut = linear_quantiles(both.filter(F.col("fold") == (k + 2) % 3), "personal_score", {"cut": 0.9}).first()["cut"]
         part = both.filter(F.col("fold") == k).withColumn("alert", F.col("personal_score") > F.lit(cut))
         parts = part if parts is None else parts.unionByName(part)
     return parts.groupBy("fold").agg(F.count(F.lit(1)).alias("rows"), F.count_if("alert").alias("alerts"), F.count_distinct("participant_id").alias("people"))

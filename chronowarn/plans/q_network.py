@@ -1,9 +1,8 @@
 """Network-biomarker scores, discovery and resampling on the scaled daily panel."""
 
-from itertools import combinations
-
 from pyspark.sql import Window as W, functions as F
 
+from chronowarn.functions.ordering import linear_quantiles
 from chronowarn.operators import discovery, network, resample, windows
 from chronowarn.plans import base, q_endpoints
 from chronowarn.plans.registry import cte, query, rnd, sql_rnd, table, with_ctes
@@ -295,7 +294,11 @@ def _(spark, folder):
 def _(spark, folder):
     r = resampled(spark, folder)
     long = r.select(F.explode(F.array(*[F.struct(F.lit(k).alias("statistic"), F.col(f"{k}_median").alias("m"), F.col(f"{k}_iqr").alias("s")) for k in ("dnb", "network_ratio", "deviation")])).alias("z")).select("z.*")
-    return long.groupBy("statistic").agg(F.count("m").alias("evaluable"), rnd(F.percentile("m", 0.5), 5).alias("median_score"), rnd(F.percentile("s", 0.5), 5).alias("median_iqr"))
+    long = materialise(long, "sensitivity")
+    score = linear_quantiles(long, "m", {"median_score": 0.5}, ["statistic"])
+    spread = linear_quantiles(long, "s", {"median_iqr": 0.5}, ["statistic"])
+    counts = long.groupBy("statistic").agg(F.count("m").alias("evaluable"))
+    return counts.join(score, "statistic").join(spread, "statistic").select("statistic", "evaluable", rnd("median_score", 5).alias("median_score"), rnd("median_iqr", 5).alias("median_iqr"))
 
 
 # ---- personal sequences and cohort scores ------------------------------------------------------------

@@ -52,11 +52,12 @@ def _(spark, folder):
 @query("s26_sessions_after_header", "S26", """
 SELECT user_id, CAST(count(*) AS BIGINT) AS sessions, CAST(sum(CASE WHEN value >= 30 THEN 1 ELSE 0 END) AS BIGINT) AS long_sessions FROM events GROUP BY 1""")
 def _(spark, folder):
-    o = base.observations(spark, folder).coalesce(1)
-    body = o.select(F.concat_ws(",", F.col("participant_id").cast("string"), F.unix_micros("start_at").cast("string"), F.unix_micros("end_at").cast("string")).alias("value"))
-    head = spark.range(1).select(F.explode(F.array(F.lit("made by a diary"), F.lit("person,start,end"))).alias("value"))
+    o = base.observations(spark, folder)
+    body = o.select(F.pmod("observation_id", F.lit(8)).alias("part"), F.lit(1).alias("rank"), F.concat_ws(",", F.col("participant_id").cast("string"), F.unix_micros("start_at").cast("string"), F.unix_micros("end_at").cast("string")).alias("value"))
+    head = spark.range(8).select(F.col("id").alias("part"), F.posexplode(F.array(F.lit("made by a diary"), F.lit("person,start,end"))).alias("rank", "value"))
+    head = head.withColumn("rank", F.col("rank") - 1)
     path = _folder(spark, "diary")
-    head.unionByName(body).coalesce(1).write.text(path)
+    head.unionByName(body).repartition("part").sortWithinPartitions("part", "rank").select("part", "value").write.partitionBy("part").text(path)
     s = tabular.read_sessions(spark, path, "person,start,end", ["person", "start", "end"])
     long = F.col("end").cast("long") - F.col("start").cast("long") >= 30 * 60_000_000
     return s.groupBy(F.col("person").cast("long").alias("user_id")).agg(F.count(F.lit(1)).alias("sessions"), F.count_if(long).alias("long_sessions"))

@@ -35,7 +35,9 @@ def _(spark, folder):
     return _drain(alarms.alarm_stream(_stream_of(s, "scores"), base.THRESHOLD), "alarms").withColumn("score", F.round("score", 6))
 
 
-@query("r02_research_day_stream", "R2 R1")
+@query("r02_research_day_stream", "R2 R1", with_ctes("obs_day", """
+, d AS (SELECT participant_id, day, value, ((CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR) AT TIME ZONE timezone) AT TIME ZONE 'UTC' AS opened FROM obs_day)
+SELECT participant_id, day, CAST(count(*) AS BIGINT) AS n_events, round(sum(value), 4) AS value_sum FROM d WHERE date_trunc('hour', opened) + INTERVAL 1 HOUR <= (SELECT max(opened) FROM d) - INTERVAL 48 HOUR GROUP BY ALL"""))
 def _(spark, folder):
     """Days the watermark has closed, per person."""
     o = base.observations(spark, folder).select("participant_id", "timezone", "start_at", "value")

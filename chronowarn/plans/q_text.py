@@ -1,13 +1,13 @@
 """Text-corpus operators over documents, labels, benchmark and conversations."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from chronowarn.functions import stats, textkeys
-from chronowarn.functions.ordering import previous_row
+from chronowarn.functions.ordering import linear_quantiles, previous_row
 from chronowarn.operators import corpus, evaluate, splits
 from chronowarn.plans import base
 from chronowarn.plans.registry import cte, query, rnd, sql_rnd, table, with_ctes
-from chronowarn.session import shared_table
+from chronowarn.session import shared_table, spread
 
 
 def _count(text, what):
@@ -116,7 +116,8 @@ FROM {AUC_SQL.format(by='lang', y='toxic')} JOIN {AP_SQL.format(by='lang', y='to
 def _(spark, folder):
     j = judged(spark, folder)
     r = evaluate.rank_metrics(j, "toxic", "p", ["lang"])
-    q = j.groupBy("lang").agg(*[rnd(F.percentile("p", s)).alias(n) for s, n in ((0.25, "lower_quartile"), (0.5, "median"), (0.75, "upper_quartile"))])
+    q = linear_quantiles(j, "p", {"lower_quartile": 0.25, "median": 0.5, "upper_quartile": 0.75}, ["lang"])
+    q = q.select("lang", *[rnd(c).alias(c) for c in ("lower_quartile", "median", "upper_quartile")])
     return r.select("lang", rnd("roc_auc").alias("roc_auc"), rnd("average_precision").alias("average_precision")).join(q, "lang")
 
 
@@ -130,7 +131,8 @@ def _(spark, folder):
 SELECT level, CAST(count(*) AS BIGINT) AS n, {sql_rnd('avg(p)')} AS mean_prediction, {sql_rnd('quantile_cont(p, 0.25)')} AS q1, {sql_rnd('quantile_cont(p, 0.5)')} AS q2, {sql_rnd('quantile_cont(p, 0.75)')} AS q3 FROM judged GROUP BY 1"""))
 def _(spark, folder):
     j = judged(spark, folder)
-    return j.groupBy("level").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("p")).alias("mean_prediction"), *[rnd(F.percentile("p", s)).alias(n) for s, n in ((0.25, "q1"), (0.5, "q2"), (0.75, "q3"))])
+    q = linear_quantiles(j, "p", {"q1": 0.25, "q2": 0.5, "q3": 0.75}, ["level"]).select("level", *[rnd(c).alias(c) for c in ("q1", "q2", "q3")])
+    return j.groupBy("level").agg(F.count(F.lit(1)).alias("n"), rnd(F.avg("p")).alias("mean_prediction")).join(q, "level")
 
 
 @query("t10_empirical_threshold", "T10", with_ctes("judged", f"""
@@ -161,12 +163,16 @@ def sql_template(x):
 @query("p20_text_identities", "P20 P21 P22", f"""
 SELECT doc_id, md5({sql_identity('text')}) AS identity, md5({sql_template('text')}) AS template, sha256(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')) AS content FROM documents""")
 def _(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.md5(textkeys.text_identity("text")).alias("identity"), F.md5(textkeys.template_identity("text")).alias("template"), textkeys.content_key("text").alias("content"))
 
 
 def family_keys(spark, folder):
-    d = table(spark, folder, "documents")
+    return shared_table(spark, folder, "family_keys", lambda: _family_keys(spark, folder))
+
+
+def _family_keys(spark, folder):
+    d = spread(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     lines = F.split("text", "\n")
     return d.select("doc_id", "lang", "source", F.md5(textkeys.template_identity("text")).alias("whole"), F.md5(textkeys.template_identity(F.get(lines, F.lit(0)))).alias("head"),
                     F.md5(textkeys.template_identity(F.element_at(lines, -1))).alias("tail"))

@@ -1,6 +1,6 @@
 """Measures and window operators over the provided tables."""
 
-from pyspark.sql import Window as W, functions as F
+from pyspark.sql import functions as F
 
 from chronowarn.functions import clock
 from chronowarn.functions.ordering import average_ranks
@@ -308,8 +308,8 @@ def _(spark, folder):
 @query("w11_occasion_number", "W11", """
 SELECT conv_id, turn, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS INTEGER) AS occasion FROM conversations""")
 def _(spark, folder):
-    c = table(spark, folder, "conversations")
-    return c.select("conv_id", "turn", F.row_number().over(W.partitionBy("conv_id").orderBy("turn")).alias("occasion"))
+    c = table(spark, folder, "conversations").select("conv_id", "turn")
+    return windows.occasion_numbers(c, "conv_id", "turn")
 
 
 PB = ("n_events", "value_mean", "mean_h")

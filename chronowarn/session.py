@@ -47,6 +47,15 @@ def materialise(df, label: str):
     return spark.read.parquet(path)
 
 
+def spread(df):
+    """Use all cores for CPU-heavy text work when the scan has fewer files than cores.
+
+    A large table has many files and is left as it is, so no text is shuffled there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 _WRITTEN: dict[tuple[str, str, str], str] = {}
 
 

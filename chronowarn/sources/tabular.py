@@ -89,8 +89,8 @@ def read_sessions(spark: SparkSession, path: str, header: str, columns) -> DataF
     Each file's header position is found first (one small row per file); lines are kept by
     comparing their position in the file with it.
     """
-    lines = spark.read.option("wholetext", "false").text(path).select(
-        "value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
     heads = lines.filter(F.col("value") == header).groupBy("file").agg(F.min("at").alias("head_at"))
     body = lines.join(F.broadcast(heads), "file").filter((F.col("at") > F.col("head_at")) & (F.trim("value") != ""))
     parts = F.split("value", ",")
