@@ -1,6 +1,6 @@
 """Guarded statistics: NULL instead of a division error or a NaN."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def _col(value) -> Column:
@@ -47,3 +47,9 @@ def sigmoid(z: Column) -> Column:
 
 def dot(left: Column, right: Column) -> Column:
     return F.aggregate(F.zip_with(left, right, lambda a, b: a * b), F.lit(0.0), lambda a, v: a + v)
+
+
+def with_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of a one-row result to every row, as one scalar subquery; NULLs when it is empty."""
+    packed = row.select(F.struct(*row.columns).alias("r")).scalar()
+    return df.withColumn("__row", packed).select(*df.columns, *[F.col("__row")[c].alias(c) for c in row.columns])

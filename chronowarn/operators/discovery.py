@@ -5,6 +5,7 @@ from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronowarn.functions.stats import with_row
 from chronowarn.functions.hashing import hash_int
 from chronowarn.operators.network import EPSILON, moments
 
@@ -40,7 +41,8 @@ def components(stats: DataFrame, modules: DataFrame, p: int, keys: Sequence[str]
     corr = F.array(*[F.abs(F.try_divide(F.col("scatter")[i * p + j], F.sqrt(F.greatest(F.col("scatter")[i * p + i] * F.col("scatter")[j * p + j], F.lit(0.0)))))
                      for i in range(p) for j in range(p)])
     s = stats.select(*keys, sd.alias("sd"), corr.alias("corr")).withColumn("usable", F.forall("sd", lambda v: v > 1e-12))
-    j = s.join(F.broadcast(modules))
+    listed = modules.agg(F.collect_list(F.struct("module", "inside", "pairs", "crossing")).alias("listed"))  # bounded by the search budget
+    j = s.transform(with_row, listed).select(*keys, "sd", "corr", "usable", F.explode_outer("listed").alias("z")).select(*keys, "sd", "corr", "usable", "z.*")
     part = lambda c: F.when(F.col("usable"), c)
     return j.select(*keys, "module", part(_pick("sd", "inside")).alias("amplitude"), part(_pick("corr", "pairs")).alias("internal"), part(_pick("corr", "crossing")).alias("external"))
 
@@ -88,7 +90,7 @@ def discover(pairs: DataFrame, draws: DataFrame, modules: DataFrame, p: int, *,
     broken = F.max(F.col("a.external").isNull() | F.col("b.external").isNull())
     top = null.groupBy("draw").agg(F.when(broken, F.lit(float("inf"))).otherwise(F.max("statistic")).alias("top"))
     maxima = top.agg(F.sort_array(F.collect_list("top")).alias("maxima"))  # one number per permutation
-    table = observed.join(stable, "module", "left").crossJoin(F.broadcast(maxima))
+    table = observed.join(stable, "module", "left").transform(with_row, maxima)
     reach = F.size(F.filter("maxima", lambda v: v >= F.col("statistic")))
     table = table.withColumn("stability", F.coalesce("hits", F.lit(0)) / F.lit(float(bootstraps))).withColumn(
         "adjusted_p", (F.lit(1.0) + reach) / F.lit(permutations + 1.0))
@@ -122,7 +124,7 @@ def permutation_adjustments(statistics: DataFrame, candidate: str = "candidate",
     s = statistics.withColumn("p", at_least / F.count(F.lit(1)).over(own))
     per_draw = s.groupBy(draw).agg(F.max(value).alias("top"), F.min("p").alias("low"))
     limits = per_draw.agg(F.collect_list(F.struct("top", "low")).alias("all"), F.count(F.lit(1)).alias("draws"))
-    observed = s.filter(F.col(draw) == 0).crossJoin(F.broadcast(limits))
+    observed = s.filter(F.col(draw) == 0).transform(with_row, limits)
     reach_t = F.size(F.filter("all", lambda x: x["top"] >= F.col(value)))
     reach_p = F.size(F.filter("all", lambda x: x["low"] <= F.col("p") + 1e-12))
     return observed.select(candidate, F.col(value).alias("statistic"), F.col("p").alias("marginal_p"), (reach_t / F.col("draws")).alias("max_t"), (reach_p / F.col("draws")).alias("min_p"))

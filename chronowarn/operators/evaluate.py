@@ -5,7 +5,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from chronowarn.functions.ordering import average_ranks, running_totals
-from chronowarn.functions.stats import ratio
+from chronowarn.functions.stats import ratio, with_row
 from chronowarn.operators import alarm
 
 PERSON_COUNTS = ("events", "detected_events", "forecast_days", "scored_days", "labelled_days", "valid_risk_days", "true_alarms",
@@ -41,7 +41,7 @@ def binary_metrics(rows: DataFrame, label: str, p: str, by: Sequence[str] = (),
     base = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(y == 1).alias("positive"), F.count_if(y == 0).alias("negative"),
                                  ratio(F.sum(w * (y - F.col(p)) * (y - F.col(p))), F.sum(w)).alias("brier"), ratio(F.sum(w * loss), F.sum(w)).alias("log_loss"))
     ranks = rank_metrics(rows, label, p, by, weight).drop("average_precision")
-    return base.join(ranks, list(by), "left") if by else base.crossJoin(ranks)
+    return base.join(ranks, list(by), "left") if by else base.transform(with_row, ranks)
 
 
 def selective_metrics(rows: DataFrame, label: str, p: str, threshold: Column, by: Sequence[str] = ()) -> DataFrame:
@@ -65,7 +65,7 @@ def empirical_threshold(rows: DataFrame, label: str, p: str, target_precision: f
     best = feasible.groupBy(*by).agg(F.max_by(F.col(p), F.struct(F.col("cum_k"), F.col("cum_k") - F.col("cum_m"), F.col(p))).alias("threshold"))
     if not midpoint:
         return best
-    joined = counts.join(best, list(by)) if by else counts.crossJoin(best)
+    joined = counts.join(best, list(by)) if by else counts.transform(with_row, best)
     gap = joined.groupBy(*by, "threshold").agg(F.max(F.when(F.col(p) < F.col("threshold"), F.col(p))).alias("lower"))
     middle = F.col("lower") + (F.col("threshold") - F.col("lower")) / 2
     return gap.select(*by, F.when(F.col("lower").isNull(), 0.0).when(middle > F.col("lower"), middle).otherwise(F.col("threshold")).alias("threshold"))
@@ -93,7 +93,7 @@ def event_metrics(days: DataFrame, events: DataFrame, threshold, *, by: Sequence
     if not ranks:
         return out
     scores = rank_metrics(days, "label", "score", by)
-    return out.join(scores, list(by), "left") if by else out.crossJoin(scores)
+    return out.join(scores, list(by), "left") if by else out.transform(with_row, scores)
 
 
 def with_rates(counts: DataFrame) -> DataFrame:
@@ -178,7 +178,7 @@ def threshold_sweep(days: DataFrame, events: DataFrame, *, by: Sequence[str] = (
     table = totals.select(*by, "threshold", "valid", *[F.col(f"cum_{c}").alias(c) for c in SWEEP]).withColumnRenamed("detected", "detected_events")
     table = table.withColumn("valid_risk_days", F.col("tp") + F.col("tn") + F.col("fp") + F.col("fn"))
     n = events.groupBy(*by).agg(F.count(F.lit(1)).alias("events"))
-    return with_rates(table.join(n, list(by), "left") if by else table.crossJoin(n))
+    return with_rates(table.join(n, list(by), "left") if by else table.transform(with_row, n))
 
 
 def choose_threshold(sweep: DataFrame, *, budget: float, by: Sequence[str] = (), objective: str = "event") -> DataFrame:
@@ -220,7 +220,7 @@ def error_set(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = (
     if not ranks:
         return a
     s = spearman(rows, truth, predicted, by)
-    return a.join(s, list(by), "left") if by else a.crossJoin(s)
+    return a.join(s, list(by), "left") if by else a.transform(with_row, s)
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:

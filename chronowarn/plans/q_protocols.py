@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Window as W, functions as F
 
+from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock, textkeys
 from chronowarn.operators import alarm, evaluate, network, panel, resample, validate, wards, windows
 from chronowarn.plans import base, q_endpoints, q_evaluate, q_network, q_records, q_text
@@ -88,7 +89,7 @@ def _(spark, folder):
     same = stored.join(again, "k").select((near("mean", "m2") & near("scale", "s2")).alias("scaler_reproduced"), F.col("n").alias("reference_people"))
     roles = base.roles(spark, folder)
     shared = roles.filter("role = 'reference'").select("participant_id").intersect(roles.filter("role <> 'reference'").select("participant_id"))
-    return same.crossJoin(shared.agg(F.count(F.lit(1)).alias("shared_people")))
+    return same.transform(with_row, shared.agg(F.count(F.lit(1)).alias("shared_people")))
 
 
 @query("v25_verified_warnings", "V25 L21", with_ctes("dayscore daily", """
@@ -101,7 +102,7 @@ def _(spark, folder):
     j = s.select("participant_id", "day").join(saved, ["participant_id", "day"], "full").join(again, ["participant_id", "day"], "full")
     repeated = store.repeated_keys(saved, ["participant_id", "day"]).agg(F.count(F.lit(1)).alias("repeated"))
     return j.agg(F.count(F.lit(1)).alias("records"), F.count_if(F.col("warning") == 1).alias("warnings"), F.count_if(F.col("status").isNull() | F.col("s2").isNull()).alias("unmatched"),
-                 F.count_if(~(F.col("warning").eqNullSafe(F.col("w2")) & F.col("status").eqNullSafe(F.col("s2")))).alias("different")).crossJoin(repeated)
+                 F.count_if(~(F.col("warning").eqNullSafe(F.col("w2")) & F.col("status").eqNullSafe(F.col("s2")))).alias("different")).transform(with_row, repeated)
 
 
 @query("v31_both_classes", "V31", """
@@ -272,4 +273,4 @@ def _(spark, folder):
     first = table(spark, folder, "orders").withColumn("rn", F.row_number().over(order)).filter("rn = 1").select(F.col("o_custkey").alias("participant_id"), F.col("o_totalprice").alias("first_score"))
     rows = materialise(labels.join(first, "participant_id"), "ward")
     auc = evaluate.rank_metrics(rows, "label", "first_score").select(rnd("roc_auc").alias("roc_auc"))
-    return rows.agg(F.count(F.lit(1)).alias("people"), F.sum("label").alias("changed")).crossJoin(auc)
+    return rows.agg(F.count(F.lit(1)).alias("people"), F.sum("label").alias("changed")).transform(with_row, auc)

@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import Window as W, functions as F, types as T
 
+from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock, textkeys
 from chronowarn.operators import measures, validate, wards, windows
 from chronowarn.plans import base
@@ -25,7 +26,7 @@ def _(spark, folder):
     tabular.export_view(o, path)
     back = tabular.read_table(spark, path, o.schema)
     d = store.digest(back, ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"])
-    return d.crossJoin(back.agg(F.round(F.sum("o_totalprice"), 2).alias("total")))
+    return d.transform(with_row, back.agg(F.round(F.sum("o_totalprice"), 2).alias("total")))
 
 
 @query("s01_csv_round_trip", "S1 S2", "SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, round(sum(l_quantity), 2) AS quantity, round(sum(l_extendedprice), 2) AS price FROM lineitem GROUP BY 1")
@@ -133,7 +134,7 @@ def _(spark, folder):
     d = table(spark, folder, "documents").select("doc_id", textkeys.content_key("text").alias("task_id"))
     tasks = d.groupBy("task_id").agg(F.count(F.lit(1)).alias("uses"))
     attached = d.join(tasks, "task_id")
-    return attached.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("uses") > 1).alias("rows_sharing")).crossJoin(tasks.agg(F.count(F.lit(1)).alias("tasks")))
+    return attached.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("uses") > 1).alias("rows_sharing")).transform(with_row, tasks.agg(F.count(F.lit(1)).alias("tasks")))
 
 
 @query("j22_refresh_by_source", "J22 V26 V37", """
@@ -175,7 +176,7 @@ def _(spark, folder):
     merged = shards[0].unionByName(shards[1]).unionByName(shards[2])
     repeated = store.repeated_keys(merged, ["event_id"]).agg(F.count(F.lit(1)).alias("repeated"))
     uncovered = e.join(merged.select("event_id"), "event_id", "left_anti").agg(F.count(F.lit(1)).alias("uncovered"))
-    return merged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value") > 400).alias("out_of_bounds")).crossJoin(repeated).crossJoin(uncovered)
+    return merged.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("value") > 400).alias("out_of_bounds")).transform(with_row, repeated).transform(with_row, uncovered)
 
 
 @query("s21_matrix_interchange", "S21", with_ctes("daily", " UNION ALL ".join(f"SELECT '{f}' AS feature, CAST(count({f}) AS BIGINT) AS n, {sql_rnd(f'sum({f})', 3)} AS total FROM daily" for f in base.FEATURES)))
@@ -306,7 +307,7 @@ def _(spark, folder):
 def _(spark, folder):
     files = spark.read.format("binaryFile").load(f"{folder}/events.parquet").select("path", "content")
     manifest = files.select("path", F.sha2("content", 256).alias("sha256"))
-    return store.verify_manifest(files, manifest).agg(F.count(F.lit(1)).alias("problems")).crossJoin(manifest.agg(F.count(F.lit(1)).alias("listed")))
+    return store.verify_manifest(files, manifest).agg(F.count(F.lit(1)).alias("problems")).transform(with_row, manifest.agg(F.count(F.lit(1)).alias("listed")))
 
 
 @query("v38_four_occasions", "V38 W11 J11 O9", f"""

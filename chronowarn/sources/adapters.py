@@ -2,6 +2,7 @@
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock
 
 MISSING = ("", "na", "n/a", "null", "none", "-", "--", "—", "nan", "无", "缺失", "未知")  # fixed values: missing markers
@@ -115,7 +116,7 @@ def pair_days(activity: DataFrame, sleep: DataFrame, keys, duration: str) -> tup
     longest = s.join(top, list(keys)).filter(F.col(duration) == F.col("__m")).drop("__m")
     s_count = longest.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.first(F.struct(*[c for c in s.columns if c not in keys])).alias("s"))
     pairs = a_count.filter("n = 1").select(*keys, "a.*").join(s_count.filter("n = 1").select(*keys, "s.*"), list(keys))
-    receipt = (activity.agg(F.count(F.lit(1)).alias("activity_rows")).crossJoin(a.agg(F.count(F.lit(1)).alias("activity_unique")))
-               .crossJoin(a_count.agg(F.count_if(F.col("n") > 1).alias("conflicting_days"))).crossJoin(s_count.agg(F.count_if(F.col("n") > 1).alias("tied_days")))
-               .crossJoin(pairs.agg(F.count(F.lit(1)).alias("paired_days"))))
+    receipt = (activity.agg(F.count(F.lit(1)).alias("activity_rows")).transform(with_row, a.agg(F.count(F.lit(1)).alias("activity_unique")))
+               .transform(with_row, a_count.agg(F.count_if(F.col("n") > 1).alias("conflicting_days"))).transform(with_row, s_count.agg(F.count_if(F.col("n") > 1).alias("tied_days")))
+               .transform(with_row, pairs.agg(F.count(F.lit(1)).alias("paired_days"))))
     return pairs, receipt
