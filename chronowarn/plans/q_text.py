@@ -15,7 +15,7 @@ def _count(text, what):
 
 
 def documents(spark, folder):
-    d = table(spark, folder, "documents")
+    d = spread(table(spark, folder, "documents"))
     words, lines, stops = _count("text", " ") + 1, _count("text", "\n") + 1, _count("text", ".")
     return d.select("doc_id", "lang", "source", "text", words.alias("words"), lines.alias("lines"), stops.alias("stops"), "n_chars")
 
@@ -26,6 +26,10 @@ cte("docs", """SELECT doc_id, lang, source, text, length(text) - length(replace(
 
 def scored(spark, folder):
     """Two metrics per document: measured value and an estimate from another count, both 0..100."""
+    return shared_table(spark, folder, "scored_docs", lambda: _scored(spark, folder))
+
+
+def _scored(spark, folder):
     d = documents(spark, folder)
     cap = lambda c: F.least(F.lit(100.0), c.cast("double"))
     m = F.array(F.struct(F.lit("length").alias("metric"), cap(F.col("n_chars") / 40).alias("truth"), cap(F.col("words") / 8).alias("predicted")),
@@ -84,6 +88,10 @@ def _(spark, folder):
 
 def judged(spark, folder):
     """Labelled documents with an acceptance probability from their word count and an ordinal level."""
+    return shared_table(spark, folder, "judged", lambda: _judged(spark, folder))
+
+
+def _judged(spark, folder):
     l = table(spark, folder, "labels")
     return documents(spark, folder).join(l, "doc_id").select("doc_id", "lang", "source", "quality", "toxic", (F.col("words") / (F.col("words") + 200.0)).alias("p"), (F.col("quality") * 2 + F.col("toxic")).alias("level"))
 
