@@ -44,3 +44,66 @@ near AS MATERIALIZED (SELECT s.doc_id, CAST(len(sh) AS BIGINT) AS n_shingles, g.
 def op2_minhash_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     from chronowarn.llm.near_dedup import near_duplicates
     return near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85)
+
+
+def crc_table() -> str:
+    """The 256 steps of the reflected CRC-32 polynomial, as a DuckDB list."""
+    steps = []
+    for value in range(256):
+        for _ in range(8):
+            value = (value >> 1) ^ (0xEDB88320 if value & 1 else 0)
+        steps.append(str(value))
+    return "[" + ",".join(steps) + "]"
+
+
+@llm_query(f"""WITH b AS (
+  SELECT doc_id, CAST(strlen(coalesce(text, '')) AS BIGINT) + 16 AS size, hex(encode(coalesce(text, ''))) AS h FROM documents),
+c AS (SELECT doc_id, size, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT,
+    list_transform(range(0, size - 16), lambda i: CAST('0x' || substr(h, 2 * i + 1, 2) AS BIGINT))),
+    lambda x, y: xor(x >> 8, {crc_table()}[xor(x & 255, y) + 1]))) AS text_crc32 FROM b),
+o AS (SELECT *, sum(size) OVER (ORDER BY doc_id, text_crc32, size ROWS UNBOUNDED PRECEDING) - size AS before,
+  sum(size) OVER () AS total, row_number() OVER (ORDER BY doc_id, text_crc32, size) AS r FROM c),
+s AS (SELECT *, CAST((2 * before + size) * 40 // (2 * total) AS INTEGER) AS shard FROM o)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, row_number() OVER (PARTITION BY shard ORDER BY r) - 1 AS slot,
+  CAST(NULL AS INTEGER) AS grown_shard FROM s""")
+def op3_sharding(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.sharding import byte_shards
+    out = byte_shards(table(spark, folder, "documents"), 40)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"),
+                      F.lit(None).cast("int").alias("grown_shard"))
+
+
+@llm_query("""WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT payload_digest, min(page_id) AS first FROM p GROUP BY payload_digest)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN payload_bytes >= 100 AND page_id <> first THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 100 AND page_id <> first THEN first END AS refers_to FROM p JOIN f USING (payload_digest)""")
+def op4_warc(spark: SparkSession, folder: str) -> DataFrame:
+    import uuid
+    from chronowarn.llm.warc import round_trip
+    from chronowarn.session import checkpoint_root
+    out = round_trip(table(spark, folder, "pages"), f"{checkpoint_root(spark)}/llm-archives-{uuid.uuid4().hex}")
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@llm_query()
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.quality_rules import quality_rules
+    out = quality_rules(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("distance", 6).alias("distance"))
+
+
+@llm_query()
+def op10_url_filters(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.url_filters import url_verdicts
+    return url_verdicts(table(spark, folder, "pages")).select("page_id", "host", "path", "rule", "verdict", F.round("score", 6).alias("score"))
+
+
+@llm_query()
+def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.license_scan import license_scan
+    out = license_scan(table(spark, folder, "documents")).withColumn("_base", F.filter("detections", lambda d: d["base"]))
+    starts = F.transform("_base", lambda d: d["first_word"])
+    return out.select(
+        "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
+        F.array_join(F.array_sort(F.array_distinct(F.transform("_base", lambda d: d["label"]))), ",").alias("base_labels"),
+        F.array_join("labels", ",").alias("labels"), "score")
