@@ -107,3 +107,18 @@ def op1_license_scan(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", "n_words", F.size("_base").cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(F.transform("_base", lambda d: d["label"]))), ",").alias("base_labels"),
         F.array_join("labels", ",").alias("labels"), "score")
+
+
+@llm_query()
+def op7_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.line_dedup import dedup_lines
+    out = dedup_lines(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed"),
+                      F.md5("text").alias("text_md5"))
+
+
+@llm_query()
+def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.decontaminate import contaminated
+    out = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+    return out.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("cosine", "share", "answer_share")], "first_word")
