@@ -165,8 +165,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     keyed = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
     lined = written(keyed.where("doc_id is not null and text is not null").mapInArrow(
         _lines, "doc_id long, text_key string, data binary, anchors array<long>"), "lines")
-    classes = written(lined.groupBy("text_key").agg(F.min("doc_id").alias("first")), "texts")
-    heads = lined.join(classes, (lined.text_key == classes.text_key) & (lined.doc_id == classes.first), "left_semi")
+    classes = written(lined.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), "texts")
+    heads = lined.join(classes, ["text_key", "doc_id"], "left_semi")
     heads = written(heads.groupBy("doc_id").agg(F.min(F.struct("text_key", "data", "anchors")).alias("s")).select("doc_id", "s.*"), "heads")
 
     held = heads.select("doc_id", F.explode("anchors").alias("line"))

@@ -13,8 +13,7 @@ from chronowarn.llm.shared import components, star_compare, written
 
 HALF = 2            # minhashes in each half of a table key
 MISS = 1.5e-5       # wanted bound on the chance that one half never agrees at the threshold
-SKETCH_MISS = 2e-6  # chance that the sketch test turns down a pair at the threshold
-BLOCK = 1024        # members of one bucket that a task compares with as many others
+BLOCK_HASHES = 500_000  # shingles of one head's members that a task compares with as many others
 
 
 def collections(percent: int) -> int:
@@ -22,16 +21,6 @@ def collections(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** HALF))
 
 
-def least_agreement(percent: int) -> int:
-    """Equal minhashes below which a pair is under the threshold, but for a chance of ``SKETCH_MISS``."""
-    n, p, total = 2 * HALF * collections(percent), percent / 100, 0.0
-    for k in range(n + 1):
-        total += math.comb(n, k) * p**k * (1 - p) ** (n - k)
-        if total > SKETCH_MISS:
-            return k
-    return 0
-
-
 def _features(shingle: int, percent: int):
     n_hashes = 2 * HALF * collections(percent)
     factor, shift = tokens.constants(n_hashes, 7), tokens.constants(n_hashes, 11)
@@ -110,43 +99,60 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * same >= percent * (len(x) + len(y) - same)
 
 
-def _across(percent: int):
-    """Pairs of one bucket in different components whose sketches agree often enough, block against block."""
-    least = least_agreement(percent)
+def _between(percent: int):
+    """Links between components among the members of one head: left rows against all right rows at once.
 
-    def pairs(rows):
-        left = [r for r in rows if r[4]]
-        right = [r for r in rows if r[5]]
+    The right sets are numbered over their union; a left set marks its numbers and the marks are summed per right
+    set, which gives all intersections exactly.  Only links that join two components are returned.
+    """
+    def links(left, right):
         if not left or not right:
-            return [], []
-        sk = [np.frombuffer(b"".join(r[3] for r in side), np.uint32).reshape(len(side), -1) for side in (left, right)]
-        ids, comps, sizes = ([np.array([r[i] for r in side], np.int64) for side in (left, right)] for i in (0, 1, 2))
-        a, b = [], []
-        for i in range(len(left)):
-            fit = (comps[1] != comps[0][i]) & (100 * np.minimum(sizes[0][i], sizes[1]) >= percent * np.maximum(sizes[0][i], sizes[1])) & (ids[0][i] != ids[1])
-            near = np.flatnonzero(fit)
-            near = near[(sk[1][near] == sk[0][i]).sum(1) >= least]
-            a.extend(np.minimum(ids[0][i], ids[1][near]).tolist())
-            b.extend(np.maximum(ids[0][i], ids[1][near]).tolist())
-        return a, b
+            return
+        ids, comps = np.array([r[1] for r in right], np.int64), np.array([r[2] for r in right], np.int64)
+        sets = [np.frombuffer(r[3], np.uint64) for r in right]
+        sizes = np.array([len(s) for s in sets])
+        union, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        cut, mark = np.r_[0, np.cumsum(sizes)[:-1]], np.zeros(len(union), np.int32)
+        for _, id_, comp, data in left:
+            mine = np.frombuffer(data, np.uint64)
+            comp = renamed.get(comp, comp)
+            if not len(mine) or (comps == comp).all():
+                continue
+            at = np.minimum(np.searchsorted(union, mine), len(union) - 1)
+            at = at[union[at] == mine]
+            mark[at] = 1
+            same = np.add.reduceat(mark[flat], cut)
+            mark[at] = 0
+            near = np.flatnonzero((100 * same >= percent * (len(mine) + sizes - same)) & (comps != comp))
+            for other in np.unique(comps[near]).tolist():
+                yield id_, int(ids[near[comps[near] == other][0]])
+                comps[comps == other] = comp
+                for k, v in list(renamed.items()):
+                    if v == other:
+                        renamed[k] = comp
+                renamed[other] = comp
+
+    renamed: dict[int, int] = {}
 
     def run(batches):
-        at, rows = None, []
+        at, left, right = None, [], []
         for batch in batches:
-            a, b = [], []
-            for key, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(9))):
-                if (key, lo, hi) != at:
-                    found = pairs(rows)
-                    a.extend(found[0])
-                    b.extend(found[1])
-                    at, rows = (key, lo, hi), []
-                rows.append(row)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-        found = pairs(rows)
-        yield pa.RecordBatch.from_arrays([pa.array(found[0], pa.int64()), pa.array(found[1], pa.int64())], ["a", "b"])
+            found = []
+            for head, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
+                if (head, lo, hi) != at:
+                    found.extend(links(left, right))
+                    at, left, right = (head, lo, hi), [], []
+                    renamed.clear()
+                (right if row[0] else left).append(row)
+            yield _links(found)
+        yield _links(list(links(left, right)))
     return run
 
 
+def _links(found):
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     """Near-duplicate groups of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -157,9 +163,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     2. Tensored banding: two collections of m groups of two minhashes give m * m tables, whose keys combine one
        group of each.  m is taken from the threshold so that a linked pair meets in some table but for about
        three chances in 100,000.
-    3. Every bucket is compared as a star with its smallest member on full sets (``star_compare``).
-    4. Buckets that still hold several components are compared across them, block against block; minhash sketches
-       turn down hopeless pairs and the others are confirmed on full sets.  Members of one component need no pair.
+    3. Every bucket is compared as a star with its smallest member, its head, on full sets (``star_compare``).
+    4. Any two members of a bucket have its head in common.  Where the members of a head are still in several
+       components, those outside the largest are compared with all of them on full sets, in blocks of bounded size;
+       only links that join components leave the task, so no group is expanded into pairs.
 
     No bucket is capped.  Null text and text without words: n_shingles 0, alone.  Null doc_id: the component of its
     class where that has an id, else null and kept only then.  Repeated rows share a component; rows that repeat an id
@@ -174,8 +181,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
 
     keys = known.select("cid", "sketch").repartition(F.col("cid")).mapInArrow(_table_keys(percent), "key long, cid long")
     buckets = keys.groupBy("key").agg(F.min("cid").alias("head"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    shared = written(keys.join(buckets, "key"), "buckets")
-    stars = written(shared.where("cid <> head").select("head", F.col("cid").alias("member")).distinct(), "stars")
+    stars = written(keys.join(buckets, "key").where("cid <> head").select("head", F.col("cid").alias("member")).distinct(), "stars")
 
     ids = stars.select(F.col("head").alias("doc_id")).union(stars.select("member")).distinct()
     sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, data binary"), "sets")
@@ -186,17 +192,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     links = links.union(repeated)
     groups = components(links)
 
-    # the buckets whose star left several components
-    placed = shared.where("size > 2").join(groups, shared.cid == groups.node, "left").select("key", "head", "cid", F.coalesce("component", "cid").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("_lo"), F.max("comp").alias("_hi"), F.count(F.lit(1)).alias("_n")).where("_lo <> _hi").select("key", "_n")
-    rest = placed.where("cid <> head").join(mixed, "key").join(known.select("cid", "n_shingles", "sketch"), "cid")
-    rest = rest.withColumn("_k", F.ceil(F.col("_n") / BLOCK).cast("int")).withColumn("_at", F.pmod(F.xxhash64("cid"), F.col("_k")).cast("int"))
-    rest = rest.withColumn("_other", F.explode(F.expr("sequence(0, _k - 1)"))).select(
-        "key", F.least("_at", "_other").alias("_lo"), F.greatest("_at", "_other").alias("_hi"), "cid", "comp", "n_shingles", "sketch",
-        (F.col("_at") <= F.col("_other")).alias("_left"), (F.col("_at") >= F.col("_other")).alias("_right"))
-    rest = rest.repartition("key", "_lo", "_hi").sortWithinPartitions("key", "_lo", "_hi")
-    more = written(rest.mapInArrow(_across(percent), "a long, b long").distinct().select(F.col("a").alias("head"), F.col("b").alias("member")), "across")
-    groups = components(links.union(star_compare(more, sets, _confirm(percent), "a long, b long"))) if not more.isEmpty() else groups
+    # heads whose members are still in several components
+    placed = stars.join(groups, stars.member == groups.node, "left").select("head", "member", F.coalesce("component", "member").alias("comp"))
+    placed = placed.join(known.select(F.col("cid").alias("member"), "n_shingles"), "member")
+    parts = placed.groupBy("head", "comp").agg(F.count(F.lit(1)).alias("_n"), F.sum("n_shingles").alias("_size"))
+    mixed = parts.groupBy("head").agg(F.max_by("comp", F.struct("_n", "comp")).alias("_main"), F.count(F.lit(1)).alias("_comps"), F.sum("_size").alias("_all"))
+    rest = placed.join(mixed.where("_comps > 1"), "head").withColumn("_k", F.ceil(F.col("_all") / BLOCK_HASHES).cast("int"))
+    rest = rest.withColumn("_at", F.pmod(F.xxhash64("member"), F.col("_k")).cast("int")).withColumn("_to", F.explode(F.expr("sequence(0, _k - 1)")))
+    left = rest.where("comp <> _main").select("head", F.col("_at").alias("_left"), F.col("_to").alias("_right"), F.lit(0).alias("side"), "member", "comp")
+    right = rest.select("head", F.col("_to").alias("_left"), F.col("_at").alias("_right"), F.lit(1).alias("side"), "member", "comp")
+    rows = left.union(right).join(sets.withColumnRenamed("id", "member"), "member").select("head", "_left", "_right", "side", "member", "comp", "data")
+    rows = rows.repartition("head", "_left", "_right").sortWithinPartitions("head", "_left", "_right", "side", "member")
+    more = written(rows.mapInArrow(_between(percent), "a long, b long").distinct(), "across")
+    groups = components(links.union(more)) if not more.isEmpty() else groups
 
     named = classes.select("key_a", "key_b", "n_shingles", "cid").join(groups, F.col("cid") == F.col("node"), "left").select(
         "key_a", "key_b", "n_shingles", F.coalesce("component", "cid").alias("component_id"))
