@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from chronowarn.llm import tokens
-from chronowarn.llm.shared import components, star_compare, written
+from chronowarn.llm.shared import components, star_compare, whole_row, written
 
 HALF = 2            # minhashes in each half of a table key
 MISS = 1.5e-5       # wanted bound on the chance that one half never agrees at the threshold
@@ -219,6 +219,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     All columns stay.  Rows with a null doc_id stay (they cannot be told apart).
     """
     gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    first = Window.partitionBy("doc_id").orderBy("text")
-    left = docs.join(gone, "doc_id", "left_anti").withColumn("_rank", F.row_number().over(first))
-    return left.where("_rank = 1 or doc_id is null").drop("_rank").select(*docs.columns)
+    left = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left_anti")
+    ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return ranked.where("_rank = 1 or doc_id is null").select("_row.*")

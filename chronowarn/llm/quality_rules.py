@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from chronowarn.llm.shared import written
+from chronowarn.llm.shared import whole_row, written
 
 SPACE = r"[\x20\x09-\x0D]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
@@ -199,6 +199,6 @@ def quality_rules(docs: DataFrame) -> DataFrame:
 
 def keep_sound(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``quality_rules`` keeps, all columns as they were."""
-    packed = docs.select(F.struct(*docs.columns).alias("_row"), "doc_id", "text", "lang", "source")
+    packed = docs.select(whole_row(docs), "doc_id", "text", "lang", "source")
     counts = written(measure(packed).drop("text", "doc_id"), "counts")
     return judge(counts).where("kept").select("_row.*")

@@ -122,3 +122,23 @@ def op5_benchmark_decontamination(spark: SparkSession, folder: str) -> DataFrame
     from chronowarn.llm.decontaminate import contaminated
     out = contaminated(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
     return out.select("doc_id", "item_id", *[F.round(c, 4).alias(c) for c in ("cosine", "share", "answer_share")], "first_word")
+
+
+@llm_query()
+def op6_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.quality_classifier import quality
+    out = quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", *[F.round(c, 6).alias(c) for c in ("p_document", "host_posterior", "path_posterior", "posterior")], "kept")
+
+
+@llm_query()
+def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.mixing import DOMAINS, mix
+    out = mix(table(spark, folder, "documents"), table(spark, folder, "labels"))
+    return out.select("doc_id", "tokens", *[F.round(c, 6).alias(c) for c in (*[f"p_{d}" for d in DOMAINS], "rate")], "copies")
+
+
+@llm_query()
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    import corpus_pipeline
+    return corpus_pipeline.run(spark, folder)

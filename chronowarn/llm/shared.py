@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import itertools
-
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from chronowarn.session import materialise
 
@@ -16,6 +14,11 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return materialise(df, f"llm-{label}")
 
 
+def whole_row(docs: DataFrame) -> Column:
+    """All columns of ``docs`` as one struct ``_row``, so that no column of an operator can clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+
+
 def star_compare(pairs: DataFrame, payload: DataFrame, compare, schema: str, block: int = STAR_BLOCK) -> DataFrame:
     """Run ``compare`` over the pairs (head, member), one head with a block of its members at a time.
 
@@ -52,11 +55,3 @@ def components(edges: DataFrame) -> DataFrame:
         if step.where("component <> _old").isEmpty():
             return labels
 
-
-def runs(keys):
-    """Start and end of every run of equal values in a list of key tuples."""
-    at = 0
-    for key, group in itertools.groupby(keys):
-        n = sum(1 for _ in group)
-        yield key, at, at + n
-        at += n
