@@ -326,20 +326,22 @@ def resampled_scores(records: DataFrame, draws: list[Reference], keys: Sequence[
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            b = b[b["vec"].map(lambda v: v is not None and not any(x is None or x != x for x in v))]
-            if not len(b):
-                continue
-            x = np.vstack(b["vec"].to_list()).astype(float)
+            empty = np.full(p, np.nan)  # a record without a whole vector stays, with no valid draw
+            x = np.array([empty if v is None else np.asarray(v, dtype=float) for v in b["vec"]]).reshape(len(b), p)
+            whole_rows = np.isfinite(x).all(1)
             values = {k: np.full((len(stats), len(x)), np.nan) for k in kinds}
             members = np.zeros((len(x), p), int)
             for t, (grow, mean, scatter, base) in enumerate(stats):
-                d = x - mean
+                d = x[whole_rows] - mean
+                if not len(d):
+                    break
                 var = np.sqrt(np.diag(scatter) + grow * d * d)
                 i, j = ij[:, 0], ij[:, 1]
                 delta = (scatter[i, j] + grow * d[:, i] * d[:, j]) / (var[:, i] * var[:, j]) - base[i, j]
                 s, r, inside = branch_scores(np.abs(d), delta)
-                values["dnb"][t], values["network_ratio"][t], values["deviation"][t] = s, r, np.abs(d).mean(1)
-                members += inside & np.isfinite(s)[:, None]
+                for k, v in zip(kinds, (s, r, np.abs(d).mean(1))):
+                    values[k][t, whole_rows] = v
+                members[whole_rows] += inside & np.isfinite(s)[:, None]
             out = b[list(keys)].copy()
             for k in kinds:
                 whole = np.isfinite(values[k]).all(0)

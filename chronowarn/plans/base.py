@@ -110,7 +110,9 @@ def scaled(spark, folder) -> DataFrame:
     return shared_table(spark, folder, "scaled", build)
 
 
-cte("dayscore", "SELECT participant_id, day, avg(abs(z)) AS score FROM zlong GROUP BY ALL", "zlong")
+# a vector with a missing feature is not scored and takes no part in a reference
+cte("zwhole", f"SELECT * FROM zlong QUALIFY count(z) OVER (PARTITION BY participant_id, day) = {len(FEATURES)}", "zlong")
+cte("dayscore", f"SELECT participant_id, day, CASE WHEN count(z) = {len(FEATURES)} THEN avg(abs(z)) END AS score FROM zlong GROUP BY ALL", "zlong")
 THRESHOLD = 1.2
 
 

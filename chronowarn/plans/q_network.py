@@ -31,10 +31,11 @@ def scored(spark, folder):
     return network.single_sample_scores(perturbed(spark, folder), P, MODULES)
 
 
-cte("refz", "SELECT z.* FROM zlong z JOIN refdays r ON r.participant_id = z.participant_id AND r.day = z.day", "zlong refdays")
+cte("refz", "SELECT z.* FROM zwhole z JOIN refdays r ON r.participant_id = z.participant_id AND r.day = z.day", "zwhole refdays")
 cte("refm", "SELECT j, avg(z) AS m, count(*) AS n FROM refz GROUP BY 1", "refz")
 cte("refs", "SELECT a.j AS i, b.j AS j, covar_samp(a.z, b.z) * (count(*) - 1) AS s, count(*) AS n FROM refz a JOIN refz b ON a.participant_id = b.participant_id AND a.j <= b.j GROUP BY 1, 2", "refz")
-cte("devs", "SELECT z.participant_id, z.day, z.j, z.z - m.m AS d, m.n FROM zlong z JOIN refm m ON m.j = z.j", "zlong refm")
+cte("devs", f"""SELECT z.participant_id, z.day, z.j, CASE WHEN count(z.z) OVER (PARTITION BY z.participant_id, z.day) = {P} THEN z.z - m.m END AS d, m.n
+FROM zlong z JOIN refm m ON m.j = z.j""", "zlong refm")
 cte("deltas", """
 SELECT a.participant_id, a.day, a.j AS i, b.j AS j, (s.s + a.n / (a.n + 1.0::DOUBLE) * a.d * b.d) / (sqrt(si.s + a.n / (a.n + 1.0::DOUBLE) * a.d * a.d) * sqrt(sj.s + a.n / (a.n + 1.0::DOUBLE) * b.d * b.d)) - s.s / sqrt(si.s * sj.s) AS delta,
  s.s / sqrt(si.s * sj.s) AS r, a.n
@@ -65,9 +66,9 @@ def _(spark, folder):
     return network.candidate_modules(names, "n_name", (2, 3)).select("size", F.concat_ws(",", "module").alias("module"))
 
 
-@query("a23_correlation_matrix", "A23 V27", with_ctes("zlong", f"""
+@query("a23_correlation_matrix", "A23 V27", with_ctes("zwhole", f"""
 SELECT participant_id, CAST(a.j AS INTEGER) AS i, CAST(b.j AS INTEGER) AS j, CAST(count(*) AS BIGINT) AS n, {sql_rnd('covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z))')} AS r
-FROM zlong a JOIN zlong b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8"""))
+FROM zwhole a JOIN zwhole b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8"""))
 def _(spark, folder):
     m = network.moments(base.scaled(spark, folder), P, ["participant_id"]).filter("n >= 8")
     e = [F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.try_divide(F.col("scatter")[i * P + j], F.sqrt(F.col("scatter")[i * P + i] * F.col("scatter")[j * P + j])).alias("r"))
@@ -76,7 +77,7 @@ def _(spark, folder):
 
 
 @query("d02_classic_scores", "D2", with_ctes("zlong", f"SELECT participant_id, module, {sql_rnd('amplitude')} AS amplitude, {sql_rnd('internal')} AS internal, {sql_rnd('external')} AS external, {sql_rnd('score', 5)} AS score FROM ms",
-    local="""pr AS MATERIALIZED (SELECT participant_id, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r FROM zlong a JOIN zlong b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8),
+    local="""pr AS MATERIALIZED (SELECT participant_id, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r FROM zwhole a JOIN zwhole b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8),
 sds AS MATERIALIZED (SELECT participant_id, j, stddev_samp(z) AS a FROM zlong GROUP BY ALL),""" + module_sql("pr", "sds", "r", ("participant_id",))))
 def _(spark, folder):
     s = network.window_scores(base.scaled(spark, folder), P, MODULES, keys=["participant_id"])
@@ -105,7 +106,7 @@ def _(spark, folder):
     return scored(spark, folder).select(*KEYS, rnd(network.aggregate_score(), 4).alias("score"))
 
 
-@query("d06_network_changes", "D6", with_ctes("deltas", f"SELECT participant_id, day, {sql_rnd('avg(abs(delta))')} AS mean_change, {sql_rnd('max(abs(delta))')} AS largest_change, CAST(count(*) AS INTEGER) AS pairs FROM deltas GROUP BY ALL"))
+@query("d06_network_changes", "D6", with_ctes("deltas", f"SELECT participant_id, day, {sql_rnd('avg(abs(delta))')} AS mean_change, {sql_rnd('max(abs(delta))')} AS largest_change, CASE WHEN count(delta) > 0 THEN CAST(count(*) AS INTEGER) END AS pairs FROM deltas GROUP BY ALL"))
 def _(spark, folder):
     a = perturbed(spark, folder).withColumn("a", F.transform("delta", lambda x: F.abs(x)))
     return a.select(*KEYS, rnd(F.aggregate("a", F.lit(0.0), lambda s, v: s + v) / F.size("a")).alias("mean_change"), rnd(F.array_max("a")).alias("largest_change"), F.size("a").alias("pairs"))
@@ -282,7 +283,7 @@ def _(spark, folder):
 
 @query("d14_deviation_over_draws", "D13 D14", with_ctes("zlong refz", f"""
 SELECT participant_id, day, {sql_rnd('quantile_cont(v, 0.5)', 5)} AS deviation_median, {sql_rnd('quantile_cont(v, 0.75) - quantile_cont(v, 0.25)', 5)} AS deviation_iqr
-FROM (SELECT z.participant_id, z.day, m.draw, avg(abs(z.z - m.m)) AS v FROM zlong z JOIN m ON m.j = z.j GROUP BY ALL) GROUP BY ALL""", local=f"""
+FROM (SELECT z.participant_id, z.day, m.draw, CASE WHEN count(z.z) = {P} THEN avg(abs(z.z - m.m)) END AS v FROM zlong z JOIN m ON m.j = z.j GROUP BY ALL) GROUP BY ALL""", local=f"""
 idx AS MATERIALIZED (SELECT participant_id, row_number() OVER (ORDER BY md5('{base.SEED}|' || participant_id), participant_id) AS idx, count(*) OVER () AS n FROM (SELECT DISTINCT participant_id FROM refz)),
 draws AS MATERIALIZED (SELECT draw, CAST(('0x' || substring(md5('{base.SEED}|draw|' || draw || '|' || slot), 1, 8))::UBIGINT % n + 1 AS BIGINT) AS idx FROM (SELECT DISTINCT n FROM idx), (SELECT unnest(range({DRAWS})) AS draw) d, LATERAL (SELECT unnest(range(n)) AS slot) s),
 m AS MATERIALIZED (SELECT d.draw, r.j, avg(r.z) AS m FROM draws d JOIN idx USING (idx) JOIN refz r USING (participant_id) GROUP BY ALL)"""))
@@ -370,7 +371,7 @@ def _(spark, folder):
 
 @query("a24_participation_ratio", "A24", with_ctes("zlong", f"""
 SELECT participant_id, {sql_rnd('49 / (7 + 2 * sum(r * r))', 5)} AS participation_ratio, {sql_rnd('avg(abs(r))', 5)} AS mean_abs_r FROM (SELECT participant_id, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r
-FROM zlong a JOIN zlong b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8) GROUP BY 1"""))
+FROM zwhole a JOIN zwhole b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8) GROUP BY 1"""))
 def _(spark, folder):
     m = network.moments(base.scaled(spark, folder), P, ["participant_id"]).filter("n >= 8")
     r = F.array(*[F.try_divide(F.col("scatter")[i * P + j], F.sqrt(F.col("scatter")[i * P + i] * F.col("scatter")[j * P + j])) for i, j in network.pairs_of(P)])

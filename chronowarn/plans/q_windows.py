@@ -258,7 +258,7 @@ def _(spark, folder):
 
 
 @query("w05_previous_day_change", "W5", with_ctes("zlong", f"""
-SELECT a.participant_id, a.day, {sql_rnd('avg(abs(a.z - b.z))')} AS previous_day_change FROM zlong a LEFT JOIN zlong b ON b.participant_id = a.participant_id AND b.j = a.j AND b.day = a.day - 1 GROUP BY ALL"""))
+SELECT a.participant_id, a.day, CASE WHEN count(a.z - b.z) = {len(base.FEATURES)} THEN {sql_rnd('avg(abs(a.z - b.z))')} END AS previous_day_change FROM zlong a LEFT JOIN zlong b ON b.participant_id = a.participant_id AND b.j = a.j AND b.day = a.day - 1 GROUP BY ALL"""))
 def _(spark, folder):
     return windows.previous_day_change(base.scaled(spark, folder)).select("participant_id", "day", rnd("previous_day_change").alias("previous_day_change"))
 

@@ -1,5 +1,6 @@
 """Session settings shared by jobs, tests and the benchmark."""
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -23,11 +24,16 @@ def build_session(app: str = "chronowarn", master: str | None = None, **extra: s
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for truncated lineage; the cluster names it, tests fall back to /tmp."""
+    """Shared folder for truncated lineage, named by ``spark.checkpoint.dir``.
+
+    A cluster must name it: a folder of one machine would be lost to the others.  Only a local master gets a
+    temporary folder of its own.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        import tempfile
-
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", folder)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -47,21 +53,19 @@ def materialise(df, label: str):
     return spark.read.parquet(path)
 
 
-def spread(df):
-    """Use all cores for CPU-heavy text work when the scan has fewer files than cores.
-
-    A large table has many files and is left as it is, so no text is shuffled there.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+_WRITTEN: dict[tuple, str] = {}
 
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+def _listing(spark: SparkSession, folder: str) -> tuple:
+    """Name, length and time of what lies in ``folder``, so that changed input is not answered from old tables."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)
+    return tuple(sorted((f.getPath().getName(), f.getLen(), f.getModificationTime()) for f in found))
 
 
 def shared_table(spark: SparkSession, folder: str, label: str, build):
     """A panel table several queries read: built on first use in a session, then re-read."""
-    key = (spark.sparkContext.applicationId, folder, label)
+    key = (spark.sparkContext.applicationId, folder, _listing(spark, folder), label)
     path = _WRITTEN.get(key)
     if path and _readable(spark, path):
         return spark.read.parquet(path)

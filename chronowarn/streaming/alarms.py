@@ -3,6 +3,7 @@
 from collections.abc import Iterator
 from datetime import date, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -11,25 +12,41 @@ from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, Str
 from chronowarn.functions import clock
 from chronowarn.sources.store import append_new
 
+EPOCH = date(1970, 1, 1)
 OUTPUT = "participant_id long, day date, score double, warning int, status string"
 STATE = StructType([StructField("last_day", DateType()), StructField("last_alarm", DateType()), StructField("run", IntegerType())])
 
 
-def advance(state: tuple, day: date, score: float | None, threshold: float | None, consecutive: int, cooldown_days: int):
-    """One step of the policy: (warning, status, new state)."""
-    last_day, last_alarm, run = state
-    run = run if last_day == day - timedelta(days=1) else 0
-    run = run + 1 if score is not None and threshold is not None and score > threshold else 0
-    cooling = last_alarm is not None and (day - last_alarm).days < cooldown_days
-    if score is None:
-        return None, "insufficient_data", (day, last_alarm, run)
-    if threshold is None:
-        return None, "uncalibrated", (day, last_alarm, run)
-    if cooling:
-        return 0, "cooldown", (day, last_alarm, run)
-    if run >= consecutive:
-        return 1, "warning", (day, day, 0)
-    return 0, "monitoring", (day, last_alarm, run)
+def replay_days(days: np.ndarray, scores: np.ndarray, threshold: float | None, consecutive: int, cooldown_days: int, carried=(None, None, 0)):
+    """Warnings and statuses of one person's ascending days (whole numbers), and what later days need to know.
+
+    The same policy as ``operators.alarm.replay``, as array steps: streaks of exceeding days are measured for all days
+    at once, and only the alarms themselves, which cut a streak and open a cooldown, are walked.  ``carried`` is
+    (last day, last alarm, streak so far); NaN is a missing score.
+    """
+    last_day, last_alarm, streak = carried
+    n, here = len(days), np.arange(len(days))
+    above = scores > (np.inf if threshold is None else threshold)
+    follows = np.diff(days, prepend=days[0] if last_day is None else last_day) == 1
+    joins = above & follows & np.r_[streak > 0, above[:-1]]
+    opened = np.maximum.accumulate(np.where(joins, -1, here))   # where each day's streak began; -1: before these days
+    length = np.where(above, here - opened + np.where(opened < 0, streak, 1), 0)
+    fires, cooling, reset, at = np.zeros(n, bool), np.zeros(n, bool), -1, 0
+    while at < n:
+        if last_alarm is not None:
+            until = int(np.searchsorted(days, last_alarm + cooldown_days))
+            cooling[at:until] = True
+            at = max(at, until)
+        ready = np.flatnonzero(np.minimum(length[at:], here[at:] - reset if reset >= 0 else length[at:]) >= consecutive)
+        if not len(ready):
+            break
+        reset = at + int(ready[0])
+        fires[reset], last_alarm, at = True, int(days[reset]), reset + 1
+    missing = np.isnan(scores)
+    status = np.select([missing, np.full(n, threshold is None), cooling, fires], ["insufficient_data", "uncalibrated", "cooldown", "warning"], "monitoring")
+    warning = [None if m or threshold is None else int(f) for m, f in zip(missing, fires)]
+    left = int(length[-1]) if reset < 0 else min(int(length[-1]), n - 1 - reset)
+    return warning, status.tolist(), (int(days[-1]), last_alarm, left)
 
 
 class AlarmProcessor(StatefulProcessor):
@@ -43,19 +60,19 @@ class AlarmProcessor(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         batch = pd.concat(list(rows), ignore_index=True).sort_values("day", kind="stable")
-        state = tuple(self.state.get()) if self.state.exists() else (None, None, 0)
-        out = []
-        for day, score in zip(batch["day"], batch["score"]):
-            value = None if score is None or score != score else float(score)
-            if state[0] is not None and day <= state[0]:
-                out.append((key[0], day, value, None, "rejected_replay"))
-                continue
-            warning, status, state = advance(state, day, value, self.threshold, self.consecutive, self.cooldown_days)
-            out.append((key[0], day, value, warning, status))
-        self.state.update(state)
-        frame = pd.DataFrame(out, columns=["participant_id", "day", "score", "warning", "status"])
-        frame["warning"] = frame["warning"].astype("Int32")
-        yield frame
+        day = pd.to_datetime(batch["day"]).to_numpy("datetime64[D]").astype(np.int64)
+        carried = tuple(self.state.get()) if self.state.exists() else (None, None, 0)
+        known = -np.inf if carried[0] is None else (carried[0] - EPOCH).days
+        fresh = (day > known) & np.r_[True, day[1:] != day[:-1]]
+        batch["warning"], batch["status"] = None, "rejected_replay"
+        if fresh.any():
+            state = tuple(None if d is None else (d - EPOCH).days for d in carried[:2]) + (carried[2],)
+            scores = batch["score"].astype(float).to_numpy()[fresh]
+            warning, status, state = replay_days(day[fresh], scores, self.threshold, self.consecutive, self.cooldown_days, state)
+            batch.loc[fresh, "warning"], batch.loc[fresh, "status"] = pd.Series(warning, index=batch.index[fresh], dtype=object), status
+            self.state.update(tuple(None if d is None else EPOCH + timedelta(days=d) for d in state[:2]) + (state[2],))
+        batch["warning"] = batch["warning"].astype("Int32")
+        yield batch.assign(participant_id=key[0])[["participant_id", "day", "score", "warning", "status"]]
 
     def close(self) -> None:
         pass

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chronowarn.functions import clock
 from chronowarn.operators import alarm
-from chronowarn.streaming.alarms import advance, alarm_stream
+from chronowarn.streaming.alarms import alarm_stream, replay_days
 
 ZONES = ["UTC", "Europe/London", "America/New_York", "Asia/Shanghai"]
 
@@ -63,16 +63,42 @@ def test_known_alarm_traces(spark):
     assert [w for w, _ in replay(spark, [(0, 3.0), (2, 3.0), (3, 3.0)], 2.0)] == [0, 0, 1]
 
 
+def policy(rows, threshold, consecutive, cooldown):
+    """The policy day by day."""
+    out, before, alarm, run = [], None, None, 0
+    for day, score in rows:
+        over = score is not None and score > threshold
+        run = (run + 1 if before == day - 1 else 1) if over else 0
+        cool = alarm is not None and day - alarm < cooldown
+        fire = score is not None and not cool and run >= consecutive
+        before, alarm, run = day, day if fire else alarm, 0 if fire else run
+        out.append((None, "insufficient_data") if score is None else (int(fire), "cooldown" if cool else "warning" if fire else "monitoring"))
+    return out
+
+
 @settings(max_examples=4, deadline=None)
 @given(st.lists(st.tuples(st.integers(1, 3), st.one_of(st.none(), st.sampled_from([0.5, 1.0, 1.5, 2.5]))), min_size=1, max_size=40))
 def test_batch_fold_equals_stepwise_policy(spark, steps):
-    day, rows, state, want = -1, [], (None, None, 0), []
+    day, rows = -1, []
+    for gap, score in steps:
+        day += gap
+        rows.append((day, score))
+    assert replay(spark, rows, 1.0) == policy(rows, 1.0, 2, 7)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.tuples(st.integers(1, 3), st.one_of(st.none(), st.sampled_from([0.5, 1.5, 2.5]))), min_size=1, max_size=60), st.integers(1, 4), st.integers(0, 9), st.integers(1, 60))
+def test_streamed_days_equal_stepwise_policy(steps, consecutive, cooldown, cut):
+    rows, day = [], 0
     for gap, score in steps:
         day += gap
         rows.append((day, score))
-        w, s, state = advance(state, date(2025, 1, 1) + timedelta(days=day), score, 1.0, 2, 7)
-        want.append((w, s))
-    assert replay(spark, rows, 1.0) == want
+    got, state = [], (None, None, 0)
+    for part in (rows[:cut], rows[cut:]):
+        if part:
+            warning, status, state = replay_days(np.array([d for d, _ in part]), np.array([np.nan if s is None else s for _, s in part]), 1.0, consecutive, cooldown, state)
+            got += list(zip(warning, status))
+    assert got == policy(rows, 1.0, consecutive, cooldown)
 
 
 def test_stream_carries_state_and_rejects_replays(spark, tmp_path):
