@@ -15,6 +15,7 @@ from chronowarn.llm.shared import star_compare, written
 ANCHOR_WORDS = 3     # words of a line that may anchor an alignment
 BLOCK_WORDS = 8      # words of an aligned block that is deleted
 RARE_SHARE = 0.01    # share of distinct texts up to which a line is rare
+RARE_LEAST = 10      # texts in which a line may always stand and be rare
 COMMON_ANCHORS = 3   # lines that are not rare, in one pair, that count as one rare line
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LINE = np.dtype([("hash", np.int64), ("words", np.int32)])
@@ -152,7 +153,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
        a block of ``BLOCK_WORDS`` words; they cost no pairs.
     2. Every anchor line (it occurs once in its document and has ``ANCHOR_WORDS`` words) pairs the first document that
        holds it with each later one: as many pairs as lines, however frequent a line is.  Pairs with a rare line (in at
-       most ``RARE_SHARE`` of the distinct texts, or two of them) are compared, and pairs with at least
+       most ``RARE_SHARE`` of the distinct texts, or ``RARE_LEAST`` of them) are compared, and pairs with at least
        ``COMMON_ANCHORS`` other anchors, which together are as telling.
     3. Patience diff aligns each pair; blocks of ``BLOCK_WORDS`` words go from the later document.  Only line hashes
        travel, the first document once per block of partners.
@@ -171,7 +172,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     held = heads.select("doc_id", F.explode("anchors").alias("line"))
     rare = held.groupBy("line").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    total = heads.agg(F.greatest(F.lit(2.0), F.count(F.lit(1)) * RARE_SHARE).alias("_most"))
+    total = heads.agg(F.greatest(F.lit(float(RARE_LEAST)), F.count(F.lit(1)) * RARE_SHARE).alias("_most"))
     shared = held.join(rare, "line").where("doc_id <> head").join(F.broadcast(total)).select(  # one row
         "head", F.col("doc_id").alias("member"), (F.col("df") <= F.col("_most")).cast("int").alias("_rare"))
     pairs = shared.groupBy("head", "member").agg(F.max("_rare").alias("_rare"), F.count(F.lit(1)).alias("_n"))
