@@ -9,7 +9,7 @@ from chronowarn.plans.registry import cte, query, rnd, sql_rnd, table, with_ctes
 from chronowarn.session import materialise, shared_table
 
 BUDGET = 4.0
-REPS = 100
+REPS = 2000
 METHODS = ("deviation", "change")
 
 

@@ -10,7 +10,7 @@ from chronowarn.session import materialise, shared_table
 
 P = len(base.FEATURES)
 MODULES = {"amount": (0, 1), "level": (1, 2, 3), "timing": (4, 5, 6)}
-DRAWS = 20
+DRAWS = 200
 KEYS = ("participant_id", "day")
 
 

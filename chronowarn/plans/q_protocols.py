@@ -150,13 +150,13 @@ PANELS = {"counts": (0, 1, 2, 3), "clocks": (4, 5, 6)}
 SELECT 'counts_minus_clocks' AS comparison, {sql_rnd('quantile_cont(a - b, 0.025)')} AS low, {sql_rnd('quantile_cont(a - b, 0.975)')} AS high, CAST(count(*) AS BIGINT) AS draws FROM (SELECT draw, avg(a) AS a, avg(b) AS b FROM draws JOIN idx USING (idx) JOIN pm USING (participant_id) GROUP BY 1)""", local=f"""
 pm AS MATERIALIZED (SELECT participant_id, avg(abs(z)) FILTER (j < 4) AS a, avg(abs(z)) FILTER (j >= 4) AS b FROM zlong GROUP BY 1),
 idx AS MATERIALIZED (SELECT participant_id, row_number() OVER (ORDER BY md5('{base.SEED}|' || participant_id), participant_id) AS idx, count(*) OVER () AS n FROM pm),
-draws AS MATERIALIZED (SELECT draw, CAST(('0x' || substring(md5('{base.SEED}|draw|' || draw || '|' || slot), 1, 8))::UBIGINT % n + 1 AS BIGINT) AS idx FROM (SELECT DISTINCT n FROM idx), (SELECT unnest(range(50)) AS draw) d, LATERAL (SELECT unnest(range(n)) AS slot) s)"""))
+draws AS MATERIALIZED (SELECT draw, CAST(('0x' || substring(md5('{base.SEED}|draw|' || draw || '|' || slot), 1, 8))::UBIGINT % n + 1 AS BIGINT) AS idx FROM (SELECT DISTINCT n FROM idx), (SELECT unnest(range(1000)) AS draw) d, LATERAL (SELECT unnest(range(n)) AS slot) s)"""))
 def _(spark, folder):
     z = base.scaled(spark, folder)
     means = z.groupBy("participant_id").agg(*[F.sum(sum((F.abs(F.col("vec")[i]) for i in idx), F.lit(0.0))).alias(f"s_{n}") for n, idx in PANELS.items()], F.count(F.lit(1)).alias("d"))
     means = materialise(means.select("participant_id", *[(F.col(f"s_{n}") / (F.col("d") * len(idx))).alias(n) for n, idx in PANELS.items()], F.lit(1).alias("one")), "panels")
     idx, n = resample.person_index(means, "participant_id", base.SEED)
-    sums = resample.resampled_sums(means.join(idx, "participant_id"), resample.draw_counts(spark, n, 50, base.SEED), [*PANELS, "one"])
+    sums = resample.resampled_sums(means.join(idx, "participant_id"), resample.draw_counts(spark, n, 1000, base.SEED), [*PANELS, "one"])
     diff = sums.select((F.col("counts") / F.col("one") - F.col("clocks") / F.col("one")).alias("v"))
     return diff.agg(F.lit("counts_minus_clocks").alias("comparison"), rnd(F.percentile("v", 0.025)).alias("low"), rnd(F.percentile("v", 0.975)).alias("high"), F.count("v").alias("draws"))
 

@@ -455,3 +455,18 @@ def _(spark, folder):
 def _(spark, folder):
     s = base.scaled(spark, folder)
     return s.select("participant_id", "day", F.when(F.col("score").isNotNull(), (F.col("score") > base.THRESHOLD).cast("int")).alias("decision"))
+
+
+MARKERS = (*adapters.MISSING, "N/A", " None ", "nan", "无", "0", "1.5")
+MARKERS_SQL = "[" + ", ".join(f"'{m}'" for m in MARKERS) + "]"
+
+
+@query("v04_missing_markers", "V4", f"""
+WITH m AS (SELECT event_type, {MARKERS_SQL}[event_id % {len(MARKERS)} + 1] AS raw FROM events)
+SELECT event_type, raw, lower(trim(raw)) IN ({", ".join(f"'{m}'" for m in adapters.MISSING)}) AS record_missing, trim(raw) IN ('', '—', '–', '-') AS ward_missing, CAST(count(*) AS BIGINT) AS n FROM m GROUP BY ALL""")
+def _(spark, folder):
+    """Every marker of both sources, some look-alikes and numbers, per kind of event."""
+    e = table(spark, folder, "events")
+    m = e.select("event_type", F.element_at(F.array(*[F.lit(x) for x in MARKERS]), (F.col("event_id") % len(MARKERS) + 1).cast("int")).alias("raw"))
+    flags = m.select("event_type", "raw", adapters.is_missing("raw").alias("record_missing"), adapters.is_missing("raw", adapters.WARD_MISSING).alias("ward_missing"))
+    return flags.groupBy("event_type", "raw", "record_missing", "ward_missing").agg(F.count(F.lit(1)).alias("n"))

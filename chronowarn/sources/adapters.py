@@ -5,12 +5,15 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock
 
-MISSING = ("", "na", "n/a", "null", "none", "-", "--", "—", "nan", "无", "缺失", "未知")  # fixed values: missing markers
+# Missing markers of record tables (any case) and of the ward source.
+MISSING = ("", "na", "n/a", "null", "none", "-", "--", "—", "–", "未测", "未填", "不适用", "未知")
+WARD_MISSING = ("", "—", "–", "-")
 
 
-def is_missing(value) -> Column:
+def is_missing(value, markers=MISSING) -> Column:
+    """NULL, or one of the source's own markers between spaces."""
     v = F.col(value) if isinstance(value, str) else value
-    return v.isNull() | F.lower(F.trim(v)).isin(*MISSING)
+    return v.isNull() | F.lower(F.trim(v)).isin(*markers)
 
 
 def bounded_number(value, low: float, high: float) -> Column:

@@ -84,18 +84,19 @@ def input_view(df: DataFrame, allowed) -> DataFrame:
 
 
 def read_sessions(spark: SparkSession, path: str, header: str, columns) -> DataFrame:
-    """Delimited rows that follow a header line inside a mixed text file, with an order check.
+    """Delimited rows that follow a header line inside a mixed text file.
 
     Each file's header position is found first (one small row per file); lines are kept by
-    comparing their position in the file with it.
+    comparing their position in the file with it.  A line with another number of fields stops the read.
     """
     at = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), at.alias("at"))
     heads = lines.filter(F.col("value") == header).groupBy("file").agg(F.min("at").alias("head_at"))
-    body = lines.join(F.broadcast(heads), "file").filter((F.col("at") > F.col("head_at")) & (F.trim("value") != ""))
+    body = lines.join(heads, "file").filter((F.col("at") > F.col("head_at")) & (F.trim("value") != ""))
     parts = F.split("value", ",")
-    out = body.filter(F.size(parts) == len(columns)).select(*[F.get(parts, F.lit(i)).alias(c) for i, c in enumerate(columns)])
-    return out
+    ragged = F.raise_error(F.concat(F.lit("line with another number of fields: "), F.col("value"))).cast("array<string>")
+    checked = body.select(F.when(F.size(parts) == len(columns), parts).otherwise(ragged).alias("parts"))
+    return checked.select(*[F.get("parts", F.lit(i)).alias(c) for i, c in enumerate(columns)])
 
 
 def seal_packet(rows: DataFrame, folder: str, parts: dict[str, list[str]]) -> DataFrame:
@@ -114,10 +115,10 @@ def seal_packet(rows: DataFrame, folder: str, parts: dict[str, list[str]]) -> Da
 
 def normalise_fields(rows: DataFrame, key: str, specs: dict[str, tuple[float, float]]) -> DataFrame:
     """Wide monitoring rows to (record, field, raw, value, state): valid, missing, unreadable or out of range."""
-    from chronowarn.sources.adapters import is_missing
+    from chronowarn.sources.adapters import WARD_MISSING, is_missing
 
     cells = [F.struct(F.lit(f).alias("field"), F.col(f).cast("string").alias("raw"), F.lit(lo).cast("double").alias("low"), F.lit(hi).cast("double").alias("high")) for f, (lo, hi) in specs.items()]
     long = rows.select(key, F.explode(F.array(*cells)).alias("z")).select(key, "z.*")
     number = F.col("raw").try_cast("double")
-    state = F.when(is_missing("raw"), "missing").when(number.isNull(), "unreadable").when(~number.between(F.col("low"), F.col("high")), "out_of_range").otherwise("valid")
+    state = F.when(is_missing("raw", WARD_MISSING), "missing").when(number.isNull(), "unreadable").when(~number.between(F.col("low"), F.col("high")), "out_of_range").otherwise("valid")
     return long.withColumn("state", state).withColumn("value", F.when(F.col("state") == "valid", number)).drop("low", "high")
