@@ -11,6 +11,7 @@ from chronowarn.session import materialise, shared_table
 P = len(base.FEATURES)
 MODULES = {"amount": (0, 1), "level": (1, 2, 3), "timing": (4, 5, 6)}
 DRAWS = 200
+BOOTSTRAPS, PERMUTATIONS, STABILITY, ALPHA = 10_000, 9_999, 0.7, 0.05  # fixed values of the discovery protocol
 KEYS = ("participant_id", "day")
 
 
@@ -200,8 +201,8 @@ def candidates(spark, folder):
         p = materialise(pairs(spark, folder), "pairs")
         idx, n = resample.person_index(p, "participant_id", base.SEED)
         mods = discovery.module_table(spark, base.FEATURES, (2, 3, 4))
-        return discovery.discover(p.join(idx, "participant_id"), resample.draw_counts(spark, n, 50, base.SEED), mods, P,
-                                  bootstraps=50, permutations=49, seed=base.SEED, stability=0.3, alpha=1.0)
+        return discovery.discover(p.join(idx, "participant_id"), resample.draw_counts(spark, n, BOOTSTRAPS, base.SEED), mods, P,
+                                  bootstraps=BOOTSTRAPS, permutations=PERMUTATIONS, seed=base.SEED, stability=STABILITY, alpha=ALPHA)
     return shared_table(spark, folder, "candidates", build)
 
 
@@ -240,7 +241,7 @@ def _(spark, folder):
 
 @query("a46_gate_summary", "A46")
 def _(spark, folder):
-    return discovery.gate_summary(candidates(spark, folder), 0.3, 0.5)
+    return discovery.gate_summary(candidates(spark, folder), STABILITY, ALPHA)
 
 
 @query("t02_distinct_module_sets", "T2", """
@@ -324,12 +325,16 @@ def _(spark, folder):
 
 @query("d18_cohort_scores", "D18")
 def _(spark, folder):
-    """Frozen discovered modules, reference deviation and previous-day change for every record."""
+    """Frozen discovered modules, reference deviation and previous-day change for every record.
+
+    Where no module passes the discovery gates there is no network score.
+    """
     chosen = [r["module"].split(",") for r in discovery.top_modules(candidates(spark, folder)).select("module").take(5)]
-    mods = {",".join(m): tuple(base.FEATURES.index(f) for f in m) for m in chosen} or MODULES
+    mods = {",".join(m): tuple(base.FEATURES.index(f) for f in m) for m in chosen}
     s = windows.previous_day_change(base.scaled(spark, folder)).select(*KEYS, "vec", F.col("score").alias("reference_deviation"), "previous_day_change")
-    s = network.single_sample_scores(network.perturb(s, frozen(spark, folder), P), P, mods)
-    return s.select(*KEYS, rnd(network.aggregate_score(), 4).alias("network_score"), rnd("reference_deviation").alias("reference_deviation"), rnd("previous_day_change").alias("previous_day_change"))
+    s = network.single_sample_scores(network.perturb(s, frozen(spark, folder), P), P, mods) if mods else s
+    score = rnd(network.aggregate_score(), 4) if mods else F.lit(None).cast("double")
+    return s.select(*KEYS, score.alias("network_score"), rnd("reference_deviation").alias("reference_deviation"), rnd("previous_day_change").alias("previous_day_change"))
 
 
 @query("d20_temporal_features", "D20 W17")
