@@ -14,7 +14,7 @@ from chronowarn.llm import tokens
 HALF_PASSAGE = 32     # a passage is two halves of so many words, and starts at every half
 BUCKETS = 1 << 16     # hashed columns that give words outside the benchmark their frequency
 RANK = 32             # corpus directions of the decomposition
-COSINE = 0.2          # least cosine of a passage and an item
+COSINE = 0.3          # least cosine of a passage and an item
 SURE = 0.8            # weighted share of an item's words in order that settles a match
 LIKELY = 0.6          # share that, with the answer check, makes a paraphrase
 ANSWER = 0.6          # weighted share of the item's answer (its last quarter) that must be there
@@ -29,7 +29,6 @@ class Index:
     idf: np.ndarray                        # of the columns
     other_idf: np.ndarray                  # of hashed buckets
     basis: np.ndarray = None               # columns x rank
-    damp: np.ndarray = None                # weight of each latent direction
     items: list = field(default_factory=list)     # (item id, word columns, answer start)
     queries: np.ndarray = None             # latent unit vectors of item passages
     owner: np.ndarray = None               # item number of each query
@@ -77,7 +76,8 @@ def _frequencies(vocabulary: np.ndarray):
             other = column < 0
             column[other] = len(vocabulary) + (hashes[other] & np.uint64(BUCKETS - 1)).astype(np.int64)
             half = np.repeat(np.arange(len(cut) - 1), np.diff(cut))
-            seen = np.unique(half * len(total) + column)
+            seen = np.sort(half * len(total) + column)
+            seen = seen[np.r_[True, seen[1:] != seen[:-1]]] if len(seen) else seen
             total += np.bincount(seen % len(total), minlength=len(total))
             n += len(cut) - 1
         some = np.flatnonzero(total)
@@ -99,17 +99,19 @@ def _norms(index: Index, hashes, column, cut):
     return total[cut[1:]] - total[cut[:-1]], own[cut[1:]] - own[cut[:-1]]
 
 
-def _gather(table: np.ndarray, column: np.ndarray, cut: np.ndarray) -> np.ndarray:
-    """Sum of ``table`` rows over the words of each half passage; words of column -1 add nothing."""
-    inside = np.flatnonzero(column >= 0)
+def _gather(table: np.ndarray, column: np.ndarray, cut: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Sum of ``table`` rows over the words of each ``wanted`` half passage; words of column -1 add nothing."""
+    padded = np.r_[table, np.zeros((1, table.shape[1]), table.dtype)]  # row -1
     out = np.zeros((len(cut) - 1, table.shape[1]), np.float32)
-    half = np.searchsorted(cut, inside, side="right") - 1
-    if len(inside):
-        first = np.flatnonzero(np.r_[True, half[1:] != half[:-1]])
-        for a in range(0, len(first), 8192):
-            lo, hi = first[a], first[a + 8192] if a + 8192 < len(first) else len(inside)
-            part = first[a : a + 8192]
-            out[half[part]] = np.add.reduceat(table[column[inside[lo:hi]]], part - lo, axis=0)
+    place = np.arange(HALF_PASSAGE)
+    for a in range(0, len(wanted), 4096):
+        halves = wanted[a : a + 4096]
+        at = cut[halves][:, None] + place
+        words = np.where(at < cut[halves + 1][:, None], column[np.minimum(at, len(column) - 1)], -1)
+        part = np.zeros((len(halves), table.shape[1]), np.float32)
+        for j in range(HALF_PASSAGE):
+            part += padded[words[:, j]]
+        out[halves] = part
     return out
 
 
@@ -125,38 +127,32 @@ def _range_finder(index: Index, omega: np.ndarray):
                 continue
             column = index.columns(hashes)
             norm, _ = _norms(index, hashes, column, cut)
-            sketch = _gather(scaled, column, cut) / np.maximum(norm, 1e-9)[:, None]
+            sketch = _gather(scaled, column, cut, np.arange(len(cut) - 1)) / np.maximum(norm, 1e-9)[:, None]
             inside = np.flatnonzero(column >= 0)
-            order = inside[np.argsort(column[inside], kind="stable")]
-            half = np.searchsorted(cut, order, side="right") - 1
-            first = np.flatnonzero(np.r_[True, column[order][1:] != column[order][:-1]]) if len(order) else []
-            for a in range(0, len(first), 256):
-                lo, hi = first[a], first[a + 256] if a + 256 < len(first) else len(order)
-                part = first[a : a + 256]
-                total[column[order[part]]] += np.add.reduceat(sketch[half[lo:hi]], part - lo, axis=0)
+            half = np.searchsorted(cut, inside, side="right") - 1
+            for k in range(total.shape[1]):
+                total[:, k] += np.bincount(column[inside], weights=sketch[half, k], minlength=len(total))
         total *= index.idf[:, None]
         some = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(list(total[some]), pa.list_(pa.float64()))], ["col", "v"])
     return run
 
 
-def decompose(y: np.ndarray, omega: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Orthonormal basis of the corpus directions and of the items, and the weight of each direction.
+def decompose(y: np.ndarray, omega: np.ndarray, items: np.ndarray) -> np.ndarray:
+    """Orthonormal basis of the leading corpus directions and of the items.
 
-    ``y`` is A^T A omega.  The Nystrom form y (omega^T y)^+ y^T of A^T A gives the leading singular values and right
-    singular vectors; the items' own vectors are joined to them, so that no item is lost in the low rank.  Directions
-    as strong as most of the corpus say little and are damped by 1 / sqrt(1 + s^2 / mean s^2).
+    ``y`` is A^T A omega.  The Nystrom form y (omega^T y)^+ y^T of A^T A gives the leading right singular vectors;
+    what the items have outside them is joined, so that no item is lost in the low rank.
     """
     q, _ = np.linalg.qr(y)
     small = np.linalg.pinv(omega.T @ y, rcond=1e-9)
     r = q.T @ y
-    values, vectors = np.linalg.eigh((r @ small @ r.T + (r @ small @ r.T).T) / 2)
-    corpus, strength = q @ vectors, np.maximum(values, 0)
+    _, vectors = np.linalg.eigh((r @ small @ r.T + (r @ small @ r.T).T) / 2)
+    corpus = q @ vectors
     rest = items.T - corpus @ (corpus.T @ items.T)
     u, s, _ = np.linalg.svd(rest, full_matrices=False)
     own = u[:, s > 1e-8 * max(1.0, s.max(initial=0))]
-    damp = 1 / np.sqrt(1 + strength / max(strength.mean(), 1e-12))
-    return np.c_[corpus, own].astype(np.float32), np.r_[damp, np.ones(own.shape[1])].astype(np.float32)
+    return np.c_[corpus, own].astype(np.float32)
 
 
 def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> float:
@@ -170,7 +166,7 @@ def weighted_lcs(item: np.ndarray, weight: np.ndarray, text: np.ndarray) -> floa
 
 def _search(index: Index):
     """Rows (doc, item, cosine, share, answer share, first word) of every item that a row of texts holds."""
-    table = (index.idf[:, None] * index.basis * index.damp).astype(np.float32)
+    table = (index.idf[:, None] * index.basis).astype(np.float32)
 
     def run(batches):
         for ids, hashes, starts in _split(batches):
@@ -195,31 +191,31 @@ def _search_found(index: Index, table, hashes, starts):
     own = own + np.where(pair, np.r_[own[1:], 0], 0)
     alive = (own >= COSINE**2 * norm) & (norm > 0)  # the cosine is at most sqrt(own / norm)
     needed = alive | np.r_[False, (alive & pair)[:-1]]
-    latent = np.zeros((n, table.shape[1]), np.float32)
-    for h in np.flatnonzero(needed).tolist():
-        words = column[cut[h] : cut[h + 1]]
-        words = words[words >= 0]
-        if len(words):
-            latent[h] = table[words].sum(0)
+    latent = _gather(table, column, cut, np.flatnonzero(needed))
     keep = np.flatnonzero(alive)
     both = latent[keep] + np.where(pair[keep][:, None], latent[np.minimum(keep + 1, n - 1)], 0)
     best: dict[tuple[int, int], tuple] = {}
+    mark = np.zeros(len(index.vocabulary) + 1, bool)
     for at in range(0, len(keep), 4096):
         cosine = both[at : at + 4096] @ index.queries.T / np.sqrt(norm[keep[at : at + 4096]])[:, None]
-        for p, q in zip(*np.nonzero(cosine >= COSINE)):
-            h, number = keep[at + p], int(index.owner[q])
-            item_id, words, answer = index.items[number]
-            r = int(row[h])
-            lo, hi = max(starts[r], cut[h] - len(words)), min(starts[r + 1], cut[h] + 2 * HALF_PASSAGE + len(words))
-            text = column[lo:hi]
-            weight = index.idf[words]
-            share = weighted_lcs(words, weight, text) / weight.sum()
-            held = weight[answer:][np.isin(words[answer:], text)].sum() / weight[answer:].sum()
-            found = (share, held, min(1.0, float(cosine[p, q])), int(cut[h] - starts[r]))
-            if share >= SURE or (share >= LIKELY and held >= ANSWER):
-                key = (r, number)
-                if key not in best or found > best[key]:
-                    best[key] = found
+        near = cosine >= COSINE
+        for p in np.flatnonzero(near.any(1)).tolist():
+            h, r = int(keep[at + p]), int(row[keep[at + p]])
+            for q in np.flatnonzero(near[p]).tolist():
+                number = int(index.owner[q])
+                _, words, answer = index.items[number]
+                text = column[max(starts[r], cut[h] - len(words)) : min(starts[r + 1], cut[h] + 2 * HALF_PASSAGE + len(words))]
+                mark[text] = True  # column -1 marks the spare last place
+                weight = index.idf[words]
+                there = weight * mark[words]
+                mark[text] = False
+                if there.sum() < LIKELY * weight.sum():  # no subsequence can carry more than the words that are there
+                    continue
+                share = weighted_lcs(words, weight, text) / weight.sum()
+                held = there[answer:].sum() / weight[answer:].sum()
+                found = (share, held, min(1.0, float(cosine[p, q])), int(cut[h] - starts[r]))
+                if share >= SURE or (share >= LIKELY and held >= ANSWER):
+                    best[r, number] = max(found, best.get((r, number), found))
     return [(r, index.items[i][0], c, s, a, w) for (r, i), (s, a, c, w) in sorted(best.items())]
 
 
@@ -291,8 +287,8 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
     sums = docs.mapInArrow(_range_finder(index, omega), "col long, v array<double>")
     sums = sums.select("col", F.posexplode("v").alias("k", "x")).groupBy("col", "k").agg(F.sum("x").alias("x")).toPandas()
     y[sums["col"], sums["k"]] = sums["x"]
-    index.basis, index.damp = decompose(y, omega, vectors)
-    latent = (vectors @ index.basis * index.damp).astype(np.float32)
+    index.basis = decompose(y, omega, vectors)
+    latent = (vectors @ index.basis).astype(np.float32)
     index.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
     index.owner = np.array(owner)
     return index
@@ -300,7 +296,7 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
 
 def _keep(index: Index, place: int):
     """Batches of whole rows without those whose text (column ``place``) holds an item."""
-    table = (index.idf[:, None] * index.basis * index.damp).astype(np.float32)
+    table = (index.idf[:, None] * index.basis).astype(np.float32)
 
     def run(batches):
         for batch in batches:
