@@ -157,7 +157,12 @@ def _(spark, folder):
     return a.select(*KEYS, F.col("m.module").alias("module"), rnd("amplitude_only").alias("amplitude_only"), rnd("ratio_only", 5).alias("ratio_only"), rnd("reference_deviation").alias("reference_deviation"))
 
 
-@query("d15_normalised_association", "D15")
+STRENGTH = f"""absdev AS MATERIALIZED (SELECT participant_id, day, j, abs(d) AS a FROM devs),
+strength AS MATERIALIZED (SELECT participant_id, day, i, j, abs(delta) * (n - 1) / greatest(1.0::DOUBLE - r * r, {network.EPSILON}) AS s FROM deltas),""" + module_sql("strength", "absdev", "s", KEYS, "(m.k - 1) / CAST(m.k AS DOUBLE)")
+
+
+@query("d15_normalised_association", "D15", with_ctes("devs deltas", f"""
+SELECT participant_id, day, module, {sql_rnd('score', 4)} AS score FROM ms""", local=STRENGTH))
 def _(spark, folder):
     ref = frozen(spark, folder)
     n = network.single_sample_scores(network.normalised_strength(perturbed(spark, folder), ref, P), P, MODULES)
