@@ -205,8 +205,9 @@ def choose_threshold(sweep: DataFrame, *, budget: float, by: Sequence[str] = (),
 # ---- regression-style agreement ---------------------------------------------------------
 
 def error_set(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = (), ranks: bool = True) -> DataFrame:
-    """MAE, RMSE, bias, tolerance shares, correlations and population SD ratio per group."""
+    """MAE, RMSE, bias, tolerance shares, correlations and population SD ratio per group, over complete pairs."""
     t, p = F.col(truth), F.col(predicted)
+    rows = rows.filter(t.isNotNull() & p.isNotNull())
     r = p - t
     a = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("n"), F.avg(F.abs(r)).alias("mae"), F.sqrt(F.avg(r * r)).alias("rmse"), F.avg(r).alias("bias"),
@@ -224,7 +225,8 @@ def error_set(rows: DataFrame, truth: str, predicted: str, by: Sequence[str] = (
 
 
 def spearman(rows: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
-    """Rank correlation: distinct values are ranked, then joined back to distinct value pairs with counts."""
+    """Rank correlation of complete pairs: distinct values are ranked, then joined back to distinct value pairs with counts."""
+    rows = rows.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = rows.groupBy(*by, x, y).agg(F.count(F.lit(1)).alias("__m"))
     rx = average_ranks(rows, x, by, out="rx").select(*by, x, "rx", F.col("total_n").alias("__n"))
     ry = average_ranks(rows, y, by, out="ry").select(*by, y, "ry")

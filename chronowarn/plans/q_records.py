@@ -67,7 +67,7 @@ def _(spark, folder):
     return a.select("participant_id", "day", F.concat_ws(",", F.col("features.name")).alias("names"), rnd(F.aggregate("features.value", F.lit(0.0), lambda s, v: s + v), 4).alias("total"))
 
 
-@query("a47_content_digest", "A47 S27 S28 S29", f"SELECT {DIGEST.format(t='c_custkey || chr(124) || c_name || chr(124) || c_mktsegment')} FROM customer")
+@query("a47_content_digest", "A47", f"SELECT {DIGEST.format(t='c_custkey || chr(124) || c_name || chr(124) || c_mktsegment')} FROM customer")
 def _(spark, folder):
     return store.digest(table(spark, folder, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
 
@@ -470,3 +470,28 @@ def _(spark, folder):
     m = e.select("event_type", F.element_at(F.array(*[F.lit(x) for x in MARKERS]), (F.col("event_id") % len(MARKERS) + 1).cast("int")).alias("raw"))
     flags = m.select("event_type", "raw", adapters.is_missing("raw").alias("record_missing"), adapters.is_missing("raw", adapters.WARD_MISSING).alias("ward_missing"))
     return flags.groupBy("event_type", "raw", "record_missing", "ward_missing").agg(F.count(F.lit(1)).alias("n"))
+
+
+STEPS = (("runs", "event_type = 'view'"), ("annotations", "event_type = 'click'"), ("strangers", "event_id % 10 = 0"), ("again", "event_type = 'view'"), ("follow_up", "event_type NOT IN ('view', 'click')"))
+STEP_DIGEST = DIGEST.format(t="event_id || chr(124) || user_id || chr(124) || event_type")
+
+
+@query("s27_audited_appends", "S27 S28 S29 S9 A47", f"""
+WITH s AS (SELECT 0 AS step, 'runs' AS operation, 'appended' AS status, 1 AS upto, 'view' AS part UNION ALL SELECT 1, 'annotations', 'appended', 2, 'click'
+  UNION ALL SELECT 2, 'strangers', 'refused_orphans', 2, '' UNION ALL SELECT 3, 'again', 'refused_repeats', 2, '' UNION ALL SELECT 4, 'follow_up', 'appended', 3, 'rest'),
+e AS (SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS stage FROM events),
+d AS (SELECT upto, d.* FROM (SELECT unnest([1, 2, 3]) AS upto) u, LATERAL (SELECT {STEP_DIGEST} FROM e WHERE stage <= upto) d),
+n AS (SELECT stage, count(*) AS n FROM e GROUP BY 1)
+SELECT CAST(step AS INTEGER) AS step, operation, status, CAST(d.rows - CASE WHEN status = 'appended' THEN coalesce(n.n, 0) ELSE 0 END AS BIGINT) AS rows_before,
+ CAST(CASE WHEN status = 'appended' THEN coalesce(n.n, 0) ELSE 0 END AS BIGINT) AS rows_added, d.digest_a, d.digest_b FROM s JOIN d USING (upto) LEFT JOIN n ON n.stage = s.upto""")
+def _(spark, folder):
+    """Three appends to one store, and two batches that are refused: without parents, and with stored keys."""
+    e = table(spark, folder, "events").select("event_id", "user_id", "event_type")
+    people = e.select("user_id").distinct()
+    path, audit = _scratch(spark, "audited"), _scratch(spark, "audit")
+    for name, part in STEPS:
+        batch = e.where(part)
+        if name == "strangers":  # people that nobody knows
+            batch = batch.withColumns({"event_id": -F.col("event_id") - 1, "user_id": -F.col("user_id") - 1})
+        store.append_audited(batch, path, ["event_id"], audit, name, people)
+    return spark.read.parquet(audit)

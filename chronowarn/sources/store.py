@@ -67,3 +67,39 @@ def verify_manifest(files: DataFrame, manifest: DataFrame) -> DataFrame:
     j = manifest.select("path", "sha256").join(found, "path", "full")
     state = F.when(F.col("actual").isNull(), "missing_file").when(F.col("sha256").isNull(), "unlisted_file").when(F.col("actual") != F.col("sha256"), "changed")
     return j.withColumn("problem", state).filter("problem IS NOT NULL")
+
+
+AUDIT = "step int, operation string, status string, rows_before long, rows_added long, digest_a long, digest_b long"
+
+
+def append_audited(batch: DataFrame, path: str, keys: Sequence[str], audit: str, operation: str, parents: DataFrame | None = None) -> str:
+    """Append ``batch`` and write one audit row; returns the row's status.
+
+    ``refused_orphans``: a row lacks its parent (``parents`` holds the key columns it must have); ``refused_repeats``:
+    a key is there already or twice in the batch; nothing is written then but the audit row.  After an append the rows
+    that were there before must have the count and digest they had, else the store is reported as damaged.
+    """
+    spark = batch.sparkSession
+    stored = spark.read.parquet(path) if table_exists(spark, path) else batch.limit(0)
+    before = digest(stored, batch.columns).first()
+    step = spark.read.parquet(audit).count() if table_exists(spark, audit) else 0
+    status, added = "appended", 0
+    if parents is not None and not batch.join(parents, parents.columns, "left_anti").isEmpty():
+        status = "refused_orphans"
+    else:
+        try:
+            append(batch, path, keys)
+        except DuplicateRows:
+            status = "refused_repeats"
+    now = spark.read.parquet(path) if table_exists(spark, path) else stored
+    after = digest(now, batch.columns).first()
+    if status == "appended":
+        added = after["rows"] - before["rows"]
+        kept = digest(now.join(batch.select(*keys), list(keys), "left_anti"), batch.columns).first()
+        if kept != before:
+            raise ValueError(f"{operation}: stored rows changed while {path} grew")
+    elif after != before:
+        raise ValueError(f"{operation}: a refused batch changed {path}")
+    row = (step, operation, status, before["rows"], added, after["digest_a"] or 0, after["digest_b"] or 0)
+    spark.createDataFrame([row], AUDIT).write.mode("append").parquet(audit)
+    return status
