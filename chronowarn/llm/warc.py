@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import gzip
 import hashlib
 import re
 import uuid
@@ -100,14 +101,15 @@ def warc_text(page: int | None, url: str, date: str, ip: str, head: str, body: s
     return "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n" + block
 
 
-def _files(df: DataFrame, bytes_column) -> int:
-    total = df.agg(F.sum(bytes_column)).first()[0] or 0
-    return max(1, -(-int(total) // ARCHIVE_BYTES))
+def _per_file(df: DataFrame, bytes_column) -> int:
+    """Records of a mean archive of ``ARCHIVE_BYTES``; the writer starts a new file after so many."""
+    size = df.agg(F.avg(bytes_column)).first()[0] or 0
+    return max(1, int(ARCHIVE_BYTES // max(1, size)))
 
 
-def _save(records: DataFrame, folder: str, end: str) -> str:
-    """Write the string column ``value`` as archive files through Spark's own writer, so any store will do."""
-    records.write.option("lineSep", end).text(folder)
+def _save(records: DataFrame, folder: str, end: str, per_file: int) -> str:
+    """Write the string column ``value`` as gzipped archive files through Spark's own writer, so any store will do."""
+    records.write.option("lineSep", end).option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", per_file).text(folder)
     return folder
 
 
@@ -134,7 +136,7 @@ def _from_arc(batches):
     for batch in batches:
         for data in batch.column(0):
             rows, held = [], 0
-            for f, head, body in parse_arc(data.as_py()):
+            for f, head, body in parse_arc(gzip.decompress(data.as_py())):
                 rows.append((_page_of(head), f["url"], f["date"], f["ip"], f["version"], head, body.decode(), len(body), hashlib.sha256(body).hexdigest()))
                 held += len(body)
                 if held > 4 << 20:
@@ -163,7 +165,7 @@ def _from_warc(batches):
     for batch in batches:
         for data in batch.column(0):
             rows = []
-            for f, block in parse_warc(data.as_py()):
+            for f, block in parse_warc(gzip.decompress(data.as_py())):
                 head, _, body = block.partition(b"\r\n\r\n")
                 text = head.decode()
                 length = int(re.search(r"\r\nContent-Length: (\d+)", text)[1])
@@ -179,8 +181,8 @@ def _from_warc(batches):
 def write_arc(pages: DataFrame, folder: str) -> str:
     """``pages`` (page_id, url, html) as ARC files, header lines of version 1 and 2 by turns."""
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    parts = _files(rows, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 400)
-    return _save(rows.repartition(parts).mapInArrow(_to_arc, "value string"), folder, "\n")
+    per_file = _per_file(rows, F.coalesce(F.octet_length("html"), F.lit(0)).cast("long") + 400)
+    return _save(rows.mapInArrow(_to_arc, "value string"), folder, "\n", per_file)
 
 
 def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> str:
@@ -188,19 +190,19 @@ def convert(spark: SparkSession, arc_folder: str, warc_folder: str) -> str:
 
     Of records with equal payloads of at least ``REVISIT_BYTES`` bytes the smallest page id is the response and the
     others revisit it.  Originals are found by a partial aggregate over digests; only digests that occur more than
-    once are joined back.  Identifiers are named after page, date, digest and URL, so a task that is run again
+    once are joined back.  The archives are parsed twice, once for digests and once to convert, so that no payload is
+    stored besides the archives.  Identifiers are named after page, date, digest and URL, so a task that is run again
     writes the same record.
     """
-    parsed = written(_archives(spark, arc_folder).mapInArrow(_from_arc, ARC_ROW), "arc-rows")
-    originals = parsed.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(
+    parsed = _archives(spark, arc_folder).mapInArrow(_from_arc, ARC_ROW)
+    seen = written(parsed.select("page_id", "payload_bytes", "payload_digest"), "arc-digests")
+    originals = seen.where(F.col("payload_bytes") >= REVISIT_BYTES).groupBy("payload_digest").agg(
         F.min("page_id").alias("_original"), F.count(F.lit(1)).alias("_n")).where("_n > 1").select("payload_digest", "_original")
-    known = parsed.select("page_id", "payload_digest").join(originals, "payload_digest").where("page_id <> _original").select(
-        "payload_digest",
-        "page_id", "_original").distinct()
+    known = seen.select("page_id", "payload_digest").join(originals, "payload_digest").where("page_id <> _original")
+    known = written(known.select("page_id", "payload_digest", "_original").distinct(), "revisits")
     rows = parsed.join(known, ["page_id", "payload_digest"], "left").withColumn("_original", F.when(F.col("payload_bytes") >= REVISIT_BYTES, F.col("_original")))
     rows = rows.select("page_id", "url", "date", "ip", "head", F.when(F.col("_original").isNull(), F.col("body")).otherwise("").alias("body"), "payload_digest", "_original", "version")
-    parts = _files(parsed, F.col("payload_bytes") + 900)
-    return _save(rows.repartition(parts).mapInArrow(_to_warc, "value string"), warc_folder, RECORD_END)
+    return _save(rows.mapInArrow(_to_warc, "value string"), warc_folder, RECORD_END, _per_file(seen, F.col("payload_bytes") + 900))
 
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
