@@ -27,7 +27,7 @@ def features(text: pa.Array) -> tuple[list[np.ndarray], np.ndarray]:
     n, size = np.diff(starts).astype(float), np.diff(offsets).astype(float)
     marks = np.r_[0, np.cumsum(SYMBOL[data])]
     lines = np.r_[0, np.cumsum(data == 0x0A)]
-    buckets = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.int32)
+    buckets = (hashes >> np.uint64(64 - WORD_BITS)).astype(np.uint16)
     sets = [np.unique(buckets[a:b]) for a, b in zip(starts[:-1].tolist(), starts[1:].tolist())]
     again = np.r_[0, np.cumsum(np.r_[False, hashes[1:] == hashes[:-1]])] if len(hashes) else np.zeros(1, int)
     twice = again[starts[1:]] - again[np.minimum(starts[:-1] + 1, starts[1:])] if len(hashes) else n
@@ -82,7 +82,7 @@ def fit_features(sets: list[np.ndarray], stats: np.ndarray, classes: np.ndarray,
         return model
     want = np.eye(n_classes)[classes]
     counts = np.array([len(s) for s in sets])
-    flat, row = np.concatenate(sets), np.repeat(np.arange(n), counts)
+    flat, row = np.concatenate(sets), np.repeat(np.arange(n, dtype=np.int32), counts)
     telling = np.zeros(1 << WORD_BITS, bool)
     seen = np.bincount(flat, minlength=len(telling)).astype(float)
     for k in range(n_classes):
@@ -112,12 +112,13 @@ def fit_labelled(docs: DataFrame, labels: DataFrame, label, n_classes: int, samp
     named = named.groupBy("doc_id").agg(F.min("_class").alias("_class")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(named, "doc_id")
     packed = rows.groupBy("doc_id").agg(F.min(F.struct("text", "_class")).alias("s")).select("doc_id", "s.*").mapInArrow(_sample_features, "doc_id long, label int, words binary, stats array<double>")
-    pdf = packed.toPandas().sort_values("doc_id")
-    return fit_features([np.frombuffer(w, np.int32) for w in pdf["words"]], np.array(pdf["stats"].tolist()).reshape(-1, STATS), pdf["label"].to_numpy(np.int64), n_classes)
+    found = packed.toArrow().sort_by("doc_id")  # at most ``sample`` rows of a few hundred numbers
+    sets = [np.frombuffer(w, np.uint16) for w in found["words"].to_pylist()]
+    return fit_features(sets, np.array(found["stats"].to_pylist()).reshape(-1, STATS), found["label"].to_numpy().astype(np.int64), n_classes)
 
 
 def _sample_features(batches):
-    for batch in batches:
+    for batch in tokens.pieces(batches):
         sets, stats = features(batch.column(1))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(list(stats), pa.list_(pa.float64()))],
                                          ["doc_id", "label", "words", "stats"])

@@ -56,12 +56,9 @@ def _halves(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _split(batches):
-    """Batches as (ids, word hashes, row starts), in pieces of about four million bytes."""
-    for batch in batches:
-        size = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
-        for at in range(0, batch.num_rows, size):
-            part = batch.slice(at, size)
-            yield part.column(0), *tokens.words(*tokens.text_bytes(part.column(1)), tokens.ALNUM)
+    """Batches as (ids, word hashes, row starts), piece by piece."""
+    for part in tokens.pieces(batches):
+        yield part.column(0), *tokens.words(*tokens.text_bytes(part.column(1)), tokens.ALNUM)
 
 
 def _frequencies(vocabulary: np.ndarray):
@@ -265,10 +262,11 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
     vocabulary = np.unique(tokens.words(*tokens.text_bytes(pa.array(texts, pa.string())), tokens.ALNUM)[0])
     if not len(vocabulary):
         return None
-    counted = docs.mapInArrow(_frequencies(vocabulary), "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toPandas()
+    counted = docs.mapInArrow(_frequencies(vocabulary), "col long, n long").groupBy("col").agg(F.sum("n").alias("n")).toArrow()
+    column, counts = counted["col"].to_numpy(), counted["n"].to_numpy()
     df = np.zeros(len(vocabulary) + BUCKETS)
-    df[counted["col"][counted["col"] >= 0]] = counted["n"][counted["col"] >= 0]
-    n = max(1, int(counted["n"][counted["col"] == -1].sum()))
+    df[column[column >= 0]] = counts[column >= 0]
+    n = max(1, int(counts[column == -1].sum()))
     idf = np.log((n + 1) / (df + 1)) + 0.1
     index = Index(vocabulary, idf[: len(vocabulary)], idf[len(vocabulary) :])
     index.items = _item_tables(texts, ids, vocabulary)
@@ -285,8 +283,8 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
     omega = np.random.default_rng(20261001).standard_normal((len(vocabulary), rank))
     y = np.zeros(omega.shape)
     sums = docs.mapInArrow(_range_finder(index, omega), "col long, v array<double>")
-    sums = sums.select("col", F.posexplode("v").alias("k", "x")).groupBy("col", "k").agg(F.sum("x").alias("x")).toPandas()
-    y[sums["col"], sums["k"]] = sums["x"]
+    sums = sums.select("col", F.posexplode("v").alias("k", "x")).groupBy("col", "k").agg(F.sum("x").alias("x")).toArrow()
+    y[sums["col"].to_numpy(), sums["k"].to_numpy()] = sums["x"].to_numpy()
     index.basis = decompose(y, omega, vectors)
     latent = (vectors @ index.basis).astype(np.float32)
     index.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
@@ -299,14 +297,10 @@ def _keep(index: Index, place: int):
     table = (index.idf[:, None] * index.basis).astype(np.float32)
 
     def run(batches):
-        for batch in batches:
-            size = max(1, int(batch.num_rows * (4 << 20) / max(1, batch.nbytes)))
-            for at in range(0, batch.num_rows, size):
-                part = batch.slice(at, size)
-                text = part.column(place)
-                hashes, starts = tokens.words(*tokens.text_bytes(text), tokens.ALNUM)
-                gone = {r for r, *_ in _search_found(index, table, hashes, starts)}
-                yield part.filter(pa.array([i not in gone for i in range(part.num_rows)], pa.bool_()))
+        for part in tokens.pieces(batches):
+            hashes, starts = tokens.words(*tokens.text_bytes(part.column(place)), tokens.ALNUM)
+            gone = {r for r, *_ in _search_found(index, table, hashes, starts)}
+            yield part.filter(pa.array([i not in gone for i in range(part.num_rows)], pa.bool_()))
     return run
 
 

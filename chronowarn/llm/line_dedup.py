@@ -10,6 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from chronowarn.llm import tokens
 from chronowarn.llm.shared import star_compare, written
 
 ANCHOR_WORDS = 3     # words of a line that may anchor an alignment
@@ -106,7 +107,7 @@ def common_lines(x: np.ndarray, y: np.ndarray) -> list[int]:
 
 
 def _lines(batches):
-    for batch in batches:
+    for batch in tokens.pieces(batches):
         tables = [line_table(t) for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays([
             batch.column(0), batch.column(1), pa.array([t.tobytes() for t in tables], pa.binary()),
@@ -115,7 +116,7 @@ def _lines(batches):
 
 def _compare(batches):
     at, heads = None, []
-    for batch in batches:
+    for batch in tokens.pieces(batches):
         ids, found = [], []
         for head, block, role, id_, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
             mine = np.frombuffer(data, LINE)
@@ -132,7 +133,7 @@ def _compare(batches):
 
 
 def _cut(batches):
-    for batch in batches:
+    for batch in tokens.pieces(batches):
         texts, totals = [], []
         for text, lines in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
             gone = set(lines or ())
@@ -191,7 +192,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 def _whole(batches):
     """Lines to delete: those found for first documents, and every line of a whole block for later copies."""
-    for batch in batches:
+    for batch in tokens.pieces(batches):
         out = []
         for lines, copy in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
             if copy is not None:

@@ -24,7 +24,7 @@ def domain(quality: Column, toxic: Column) -> Column:
 def _posteriors(model, text_at: int):
     """Batches with tokens and posteriors added behind their columns, of which ``text_at`` is the text."""
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             if not batch.num_rows:
                 continue
             text = batch.column(text_at)

@@ -26,7 +26,7 @@ def _features(shingle: int, percent: int):
     factor, shift = tokens.constants(n_hashes, 7), tokens.constants(n_hashes, 11)
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             hashes, starts = tokens.words(*tokens.text_bytes(batch.column(1)), tokens.NOT_SPACE)
             sets = tokens.shingle_sets(hashes, starts, shingle)
             sizes = np.array([len(s) for s in sets], np.int64)
@@ -54,7 +54,7 @@ def _table_keys(percent: int):
     weight = tokens.constants(HALF, 13)
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             if not batch.num_rows:
                 continue
             sketch = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(batch.num_rows, 2, m, HALF).astype(np.uint64)
@@ -67,7 +67,7 @@ def _table_keys(percent: int):
 
 def _sets(shingle: int):
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             hashes, starts = tokens.words(*tokens.text_bytes(batch.column(1)), tokens.NOT_SPACE)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in tokens.shingle_sets(hashes, starts, shingle)], pa.binary())], ["id", "data"])
     return run
@@ -77,7 +77,7 @@ def _confirm(percent: int):
     """Links whose full sets meet the threshold; the head's sets stay while its members pass."""
     def run(batches):
         at, heads = None, []
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             a, b = [], []
             for head, block, role, id_, data in zip(*(batch.column(i).to_pylist() for i in range(5))):
                 mine = np.frombuffer(data, np.uint64)
@@ -136,7 +136,7 @@ def _between(percent: int):
 
     def run(batches):
         at, left, right = None, [], []
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             found = []
             for head, lo, hi, *row in zip(*(batch.column(i).to_pylist() for i in range(7))):
                 if (head, lo, hi) != at:
@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = written(keys.join(buckets, "key").where("cid <> head").select("head", F.col("cid").alias("member")).distinct(), "stars")
 
     ids = stars.select(F.col("head").alias("doc_id")).union(stars.select("member")).distinct()
-    sets = written(docs.join(ids, "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, data binary"), "sets")
+    # one plan at every size: the texts are dealt by id, never joined with a list of ids sent to every task
+    sets = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, data binary"), "sets")
     links = written(star_compare(stars, sets, _confirm(percent), "a long, b long"), "links")
 
     members = full.join(classes.drop("sketch"), ["key_a", "key_b", "n_shingles"]).select("doc_id", "cid")
@@ -219,6 +220,6 @@ def keep_one(docs: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
     All columns stay.  Rows with a null doc_id stay (they cannot be told apart).
     """
     gone = near_duplicates(docs, shingle, percent).where("not kept and doc_id is not null").select("doc_id").distinct()
-    left = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone, "doc_id", "left_anti")
+    left = docs.select(whole_row(docs), F.col("doc_id").cast("long").alias("doc_id"), "text").join(gone.hint("merge"), "doc_id", "left_anti")
     ranked = left.withColumn("_rank", F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
     return ranked.where("_rank = 1 or doc_id is null").select("_row.*")

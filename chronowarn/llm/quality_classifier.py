@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from chronowarn.llm import tokens
 from chronowarn.llm.classify import SAMPLE, fit_labelled
 from chronowarn.llm.shared import written
 
@@ -18,7 +19,7 @@ def _evidence(model):
     shift = np.log(model.prior[1] / model.prior[0])
 
     def run(batches):
-        for batch in batches:
+        for batch in tokens.pieces(batches):
             p = np.clip(model.posteriors(batch.column(1))[:, 1], EDGE, 1 - EDGE) if batch.num_rows else np.zeros(0)
             yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in (0, 2, 3)], pa.array(p), pa.array(np.log(p / (1 - p)) - shift)],
                                              ["doc_id", "host", "path", "p_document", "evidence"])

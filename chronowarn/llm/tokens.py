@@ -1,7 +1,7 @@
 """Words of whole texts as 64-bit hashes, computed over Arrow batches with NumPy.
 
 A word's hash is a polynomial over its bytes modulo 2**64 (differences of a running sum), finished by a mixing step,
-so a batch of texts is hashed without a Python loop over words.  Texts are handled in pieces of about one MiB, cut
+so a batch of texts is hashed without a Python loop over words.  Texts are handled in pieces of about 256 KiB, cut
 between words; memory beyond the text itself is eight bytes a word.
 """
 
@@ -10,7 +10,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PIECE = 1 << 20
+PIECE = 1 << 18
 BASE = 0x9E3779B97F4A7C15
 SPACES = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -51,6 +51,14 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(column.buffers()[2], dtype=np.uint8)[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def pieces(batches, size: int = 4 << 20):
+    """Arrow batches cut to about ``size`` bytes, a longer row alone, so that working arrays stay small."""
+    for batch in batches:
+        rows = max(1, int(batch.num_rows * size / max(1, batch.nbytes)))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 def words(data: np.ndarray, offsets: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words in order (A-Z lower-cased) and, per row, where its words start in them."""
     size, at, found, places = len(data), 0, [], []

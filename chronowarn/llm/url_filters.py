@@ -95,7 +95,9 @@ def url_verdicts(pages: DataFrame, rules=RULES) -> DataFrame:
     apart: score null, allow.  Repeated rows get equal verdicts; empty input gives no rows; extra columns are ignored.
     """
     pages = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    distinct = pages.where("url is not null").select("url").distinct()
+    # short rows that each make hundreds: deal them to all tasks before the windows are made
+    tasks = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pages.where("url is not null").select("url").distinct().repartition(tasks, "url")
     host, path = host_and_path(F.col("url"))
     distinct = apply_rules(distinct.withColumns({"host": host, "path": path}), rules)
     seen = written(_windows(distinct.select("url", "rule_verdict")).groupBy("url", "rule_verdict", "gram").agg(F.count(F.lit(1)).alias("n")), "windows")
