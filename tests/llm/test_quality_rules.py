@@ -80,7 +80,8 @@ def test_labels_agree(spark):
 def test_awkward_rows(awkward, docs_of):
     kept = qr.keep_sound(awkward)
     assert kept.columns == awkward.columns
-    assert sorted(str(r["doc_id"]) for r in kept.collect()) == ["4", "5", "5", "6", "7", "None"]
+    sound = [str(r["doc_id"]) for r in awkward.collect() if (b := base(r["text"]))[0] >= 10 and 100 * b[4] <= 20 * b[0]]
+    assert sorted(str(r["doc_id"]) for r in kept.collect()) == sorted(sound) == ["4", "5", "5", "6", "None"]  # the long text repeats itself
     verdicts = qr.quality_rules(awkward).collect()
     assert len(verdicts) == awkward.count() and all(r["distance"] is None for r in verdicts)
     assert qr.quality_rules(docs_of([])).collect() == []
