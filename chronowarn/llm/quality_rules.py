@@ -179,7 +179,8 @@ def judge(measured: DataFrame) -> DataFrame:
     sound = written(_grouped(v.where("not base_failed").select("lang", "source", *DIMENSIONS)).select("_group", "lang", "source", *DIMENSIONS), "vectors")
     fit = estimates(sound).where(F.col("group_rows") >= MIN_GROUP)
     names = sound.select("lang", "source", "_group").distinct().withColumnsRenamed({"lang": "_lang", "source": "_source"})
-    fit = names.join(fit, "_group").drop("_group", "group_rows")
+    # a row per language and source: its size is known once written, so Spark sends it to the rows while it is small
+    fit = written(names.join(fit, "_group").drop("_group", "group_rows"), "fits")
     joined = v.join(fit, v.lang.eqNullSafe(fit["_lang"]) & v.source.eqNullSafe(fit["_source"]), "left")
     out = _distance(joined).withColumn("distance", F.when(~F.col("base_failed"), F.sqrt("d2")))
     return out.withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance", F.lit(0.0)) <= CUTOFF)).select(
