@@ -184,7 +184,8 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80) -> Dat
     stars = written(keys.join(buckets, "key").where("cid <> head").select("head", F.col("cid").alias("member")).distinct(), "stars")
 
     ids = stars.select(F.col("head").alias("doc_id")).union(stars.select("member")).distinct()
-    # one plan at every size: the texts are dealt by id, never joined with a list of ids sent to every task
+    # one plan at every size: the texts are dealt by id, never joined with a list of ids sent to every task;
+    # so the disk a run needs grows with its input
     sets = written(docs.join(ids.hint("merge"), "doc_id", "left_semi").mapInArrow(_sets(shingle), "id long, data binary"), "sets")
     links = written(star_compare(stars, sets, _confirm(percent), "a long, b long"), "links")
 
