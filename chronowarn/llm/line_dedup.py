@@ -1,4 +1,4 @@
-"""Line dedup by pairwise alignment: shared rare lines find the pairs, patience diff finds the common blocks."""
+"""Line dedup by pairwise alignment: shared lines find the pairs, patience diff finds the common blocks."""
 
 from __future__ import annotations
 
@@ -15,9 +15,8 @@ from chronowarn.llm.shared import star_compare, written
 
 ANCHOR_WORDS = 3     # words of a line that may anchor an alignment
 BLOCK_WORDS = 8      # words of an aligned block that is deleted
-RARE_SHARE = 0.01    # share of distinct texts up to which a line is rare
-RARE_LEAST = 10      # texts in which a line may always stand and be rare
-COMMON_ANCHORS = 3   # lines that are not rare, in one pair, that count as one rare line
+# No pair is passed over any more; only test_query_equals_brute_force, which repeats the earlier cut, reads these.
+RARE_SHARE, RARE_LEAST, COMMON_ANCHORS = 0.01, 10, 3
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
 LINE = np.dtype([("hash", np.int64), ("words", np.int32)])
 
@@ -153,9 +152,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     1. Equal texts form one class.  The first copy stands for it, so later copies lose every line of it that lies in
        a block of ``BLOCK_WORDS`` words; they cost no pairs.
     2. Every anchor line (it occurs once in its document and has ``ANCHOR_WORDS`` words) pairs the first document that
-       holds it with each later one: as many pairs as lines, however frequent a line is.  Pairs with a rare line (in at
-       most ``RARE_SHARE`` of the distinct texts, or ``RARE_LEAST`` of them) are compared, and pairs with at least
-       ``COMMON_ANCHORS`` other anchors, which together are as telling.
+       holds it with each later one: at most as many pairs as lines, however frequent a line is.  All are compared.
     3. Patience diff aligns each pair; blocks of ``BLOCK_WORDS`` words go from the later document.  Only line hashes
        travel, the first document once per block of partners.
 
@@ -172,12 +169,9 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     heads = written(heads.groupBy("doc_id").agg(F.min(F.struct("text_key", "data", "anchors")).alias("s")).select("doc_id", "s.*"), "heads")
 
     held = heads.select("doc_id", F.explode("anchors").alias("line"))
-    rare = held.groupBy("line").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    total = heads.agg(F.greatest(F.lit(float(RARE_LEAST)), F.count(F.lit(1)) * RARE_SHARE).alias("_most"))
-    shared = held.join(rare, "line").where("doc_id <> head").join(F.broadcast(total)).select(  # one row
-        "head", F.col("doc_id").alias("member"), (F.col("df") <= F.col("_most")).cast("int").alias("_rare"))
-    pairs = shared.groupBy("head", "member").agg(F.max("_rare").alias("_rare"), F.count(F.lit(1)).alias("_n"))
-    pairs = written(pairs.where((F.col("_rare") == 1) | (F.col("_n") >= COMMON_ANCHORS)).select("head", "member"), "line-pairs")
+    firsts = held.groupBy("line").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    shared = held.join(firsts, "line").where("doc_id <> head")
+    pairs = written(shared.select("head", F.col("doc_id").alias("member")).distinct(), "line-pairs")
     found = star_compare(pairs, heads.select(F.col("doc_id").alias("id"), "data"), _compare, "doc_id long, lines array<int>")
     found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))  # a document's own lines
 
