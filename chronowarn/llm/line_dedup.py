@@ -18,6 +18,8 @@ BLOCK_WORDS = 8      # words of an aligned block that is deleted
 # No pair is passed over any more; only test_query_equals_brute_force, which repeats the earlier cut, reads these.
 RARE_SHARE, RARE_LEAST, COMMON_ANCHORS = 0.01, 10, 3
 SPACE = re.compile(r"[\x20\x09-\x0D]+")
+BASE = np.uint64(0x9E3779B97F4A7C15)
+UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 LINE = np.dtype([("hash", np.int64), ("words", np.int32)])
 
 
@@ -30,10 +32,38 @@ def line_table(text: str) -> np.ndarray:
     return np.array(out, LINE)
 
 
+def runs(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """First line, last line and hash of the shortest runs of adjacent lines that a block may be.
+
+    Such a run has ``BLOCK_WORDS`` words and a line of ``ANCHOR_WORDS``.  The first so many (the last number) begin at
+    each line that has words, the rest end at each.  A block common to two documents is covered by runs common to them.
+    """
+    words = lines["words"].astype(np.int64)
+    some, strong = np.flatnonzero(words), np.flatnonzero(words >= ANCHOR_WORDS)
+    if not len(strong):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    total = np.r_[0, np.cumsum(words)]
+    stop = np.searchsorted(total, total[some] + BLOCK_WORDS) - 1
+    at = np.searchsorted(strong, some)
+    good = (stop < len(lines)) & (at < len(strong))
+    first, last = some[good], np.maximum(stop, strong[np.minimum(at, len(strong) - 1)])[good]
+    ahead = len(first)
+    start = np.searchsorted(total, total[some + 1] - BLOCK_WORDS, side="right") - 1
+    at = np.searchsorted(strong, some, side="right") - 1
+    good = (start >= 0) & (at >= 0)
+    first, last = np.r_[first, np.minimum(start, strong[np.maximum(at, 0)])[good]], np.r_[last, some[good]]
+    power = np.cumprod(np.full(len(lines), BASE))  # wraps: the hash of a run is a polynomial modulo 2^64
+    value = np.r_[np.uint64(0), np.cumsum(lines["hash"].astype(np.uint64) * power)]
+    back = np.cumprod(np.full(len(lines), UNBASE))
+    mixed = (value[last + 1] - value[first]) * back[first] + (last - first).astype(np.uint64)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * BASE
+    mixed ^= mixed >> np.uint64(32)
+    return first, last, np.where(first == last, lines["hash"][first], mixed.astype(np.int64)), ahead
+
+
 def anchors(lines: np.ndarray) -> np.ndarray:
-    """Hashes of the lines of ``ANCHOR_WORDS`` words or more that occur once."""
-    values, counts = np.unique(lines["hash"][lines["words"] >= ANCHOR_WORDS], return_counts=True)
-    return values[counts == 1]
+    """Hashes of the lines of ``ANCHOR_WORDS`` words or more and of the runs that may be blocks, each once."""
+    return np.unique(np.r_[lines["hash"][lines["words"] >= ANCHOR_WORDS], runs(lines)[2]])
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -56,11 +86,32 @@ def _once(lines: np.ndarray, lo: int, hi: int) -> dict[int, int]:
     return {v: lo + i for v, i in zip(values[counts == 1].tolist(), first[counts == 1].tolist())}
 
 
-def align(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
+def _once_runs(found, lo: int, hi: int) -> dict[int, tuple[int, int]]:
+    """First and last line of every run that lies in the lines ``lo`` to ``hi`` and is there once."""
+    first, last, hashes, ahead = found
+    a, b = np.searchsorted(first[:ahead], lo), np.searchsorted(last[:ahead], hi)
+    values, at, counts = np.unique(hashes[a:b], return_index=True, return_counts=True)
+    return {v: (int(first[a + i]), int(last[a + i])) for v, i in zip(values[counts == 1].tolist(), at[counts == 1].tolist())} if a < b else {}
+
+
+def _run_chain(left, right) -> list[tuple[int, int]]:
+    """Rising chain of the starts of common runs, without one that begins inside an earlier run on another diagonal."""
+    both = {left[h][0]: (right[h][0], left[h][1] - left[h][0]) for h in left if h in right}
+    chain, end = [], 0
+    for i, j in _increasing(sorted((i, j) for i, (j, _) in both.items())):
+        if chain and i - j != chain[-1][0] - chain[-1][1] and (i <= chain[-1][0] + end or j <= chain[-1][1] + end):
+            continue
+        chain.append((i, j))
+        end = both[i][1]
+    return chain
+
+
+def align(x: np.ndarray, y: np.ndarray, runs_x=None, runs_y=None) -> list[tuple[int, int]]:
     """Patience diff of two line tables: matched (line of x, line of y), both rising.
 
     Lines that occur once on either side anchor the longest rising chain; equal lines next to an anchor join it,
-    and what lies between anchors is aligned in the same way, as long as it has lines that occur once there.
+    and what lies between anchors is aligned in the same way, as long as it has lines, or else runs, that occur once
+    there.  ``runs_x`` and ``runs_y`` are the ``runs`` of both.
     """
     matched, todo = [], [(0, len(x), 0, len(y))]
     xs, ys = x["hash"].tolist(), y["hash"].tolist()
@@ -76,6 +127,9 @@ def align(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
             continue
         left, right = _once(x, a, b), _once(y, c, d)
         chain = _increasing(sorted((i, right[h]) for h, i in left.items() if h in right))
+        if not chain:
+            runs_x, runs_y = runs_x or runs(x), runs_y or runs(y)
+            chain = _run_chain(_once_runs(runs_x, a, b), _once_runs(runs_y, c, d))
         if not chain:
             continue
         edges = [(a, c), *[(i + 1, j + 1) for i, j in chain]]
@@ -85,8 +139,13 @@ def align(x: np.ndarray, y: np.ndarray) -> list[tuple[int, int]]:
     return sorted(matched)
 
 
-def common_lines(x: np.ndarray, y: np.ndarray) -> list[int]:
-    """Lines of ``y`` in aligned blocks of at least ``BLOCK_WORDS`` words that hold a line of ``ANCHOR_WORDS``."""
+def common_lines(x: np.ndarray, y: np.ndarray, runs_x=None, runs_y=None) -> list[int]:
+    """Lines of ``y`` in blocks of at least ``BLOCK_WORDS`` words that hold a line of ``ANCHOR_WORDS`` and are in ``x``.
+
+    Blocks are aligned, and so keep the order of ``x``; a run that stands more than once in ``x`` or in ``y`` has no one
+    place in that order, and every copy of it in ``y`` counts.
+    """
+    runs_x, runs_y = runs_x or runs(x), runs_y or runs(y)
     out, block = [], []
 
     def close():
@@ -96,13 +155,25 @@ def common_lines(x: np.ndarray, y: np.ndarray) -> list[int]:
         block.clear()
 
     last = (-2, -2)
-    for i, j in align(x, y):
+    for i, j in align(x, y, runs_x, runs_y):
         if (i, j) != (last[0] + 1, last[1] + 1):
             close()
         block.append(j)
         last = (i, j)
     close()
-    return out
+    several = np.intersect1d(np.r_[_several(runs_x), _several(runs_y)], np.intersect1d(runs_x[2], runs_y[2]))
+    for n in np.flatnonzero(np.isin(runs_y[2], several)).tolist() if len(several) else ():
+        out.extend(j for j in range(runs_y[0][n], runs_y[1][n] + 1) if y["words"][j])
+    return sorted(set(out))
+
+
+def _several(found) -> np.ndarray:
+    """Hashes of runs that stand in more than one place: of those that begin at, or of those that end at each line."""
+    out = []
+    for part in (found[2][: found[3]], found[2][found[3] :]):
+        values, counts = np.unique(part, return_counts=True)
+        out.append(values[counts > 1])
+    return np.concatenate(out)
 
 
 def _lines(batches):
@@ -122,9 +193,10 @@ def _compare(batches):
             if (head, block) != at:
                 at, heads = (head, block), []
             if role == 0:
-                heads.append(mine)
+                heads.append((mine, runs(mine)))
                 continue
-            lines = sorted({j for h in heads for j in common_lines(h, mine)})
+            own = runs(mine)
+            lines = sorted({j for h, r in heads for j in common_lines(h, mine, r, own)})
             if lines:
                 ids.append(id_)
                 found.append(lines)
@@ -151,10 +223,12 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
     1. Equal texts form one class.  The first copy stands for it, so later copies lose every line of it that lies in
        a block of ``BLOCK_WORDS`` words; they cost no pairs.
-    2. Every anchor line (it occurs once in its document and has ``ANCHOR_WORDS`` words) pairs the first document that
-       holds it with each later one: at most as many pairs as lines, however frequent a line is.  All are compared.
-    3. Patience diff aligns each pair; blocks of ``BLOCK_WORDS`` words go from the later document.  Only line hashes
-       travel, the first document once per block of partners.
+    2. Every line of ``ANCHOR_WORDS`` words and every shortest run of adjacent lines that may be a block, taken once per
+       document, pairs the first document that holds it with each later one: at most as many pairs as lines and runs,
+       however frequent one is.  All pairs are compared.
+    3. Patience diff aligns each pair; blocks of ``BLOCK_WORDS`` words go from the later document, and of a passage that
+       stands several times in one of the two every copy in the later.  Only line hashes travel, the first document
+       once per block of partners.
 
     Null text stays null, empty text stays; a null doc_id is left whole; rows that repeat an id and text lose the
     same lines, and of rows that repeat an id with different texts only the one with the smallest text hash is
