@@ -31,6 +31,8 @@ class Index:
     basis: np.ndarray = None               # columns x rank
     items: list = field(default_factory=list)     # (item id, word columns, answer start)
     queries: np.ndarray = None             # latent unit vectors of item passages
+    length: np.ndarray = None              # TF-IDF length of each query
+    most: np.ndarray = None                # times that its commonest word stands in each query
     owner: np.ndarray = None               # item number of each query
     lut: np.ndarray = None
 
@@ -186,7 +188,9 @@ def _search_found(index: Index, table, hashes, starts):
     pair = np.r_[row[1:] == row[:-1], False]  # a half and the next one of the same text
     norm = norm + np.where(pair, np.r_[norm[1:], 0], 0)
     own = own + np.where(pair, np.r_[own[1:], 0], 0)
-    alive = (own >= COSINE**2 * norm) & (norm > 0)  # the cosine is at most sqrt(own / norm)
+    # a query's dot product is at most ``most`` times the passage's own weight, and has to reach COSINE of both lengths
+    least = np.minimum((index.length**2 / index.most).min(), (index.length / index.most).min() * np.sqrt(norm))
+    alive = (own >= COSINE * least * (1 - 1e-6)) & (own > 0)
     needed = alive | np.r_[False, (alive & pair)[:-1]]
     latent = _gather(table, column, cut, np.flatnonzero(needed))
     keep = np.flatnonzero(alive)
@@ -194,7 +198,7 @@ def _search_found(index: Index, table, hashes, starts):
     best: dict[tuple[int, int], tuple] = {}
     mark = np.zeros(len(index.vocabulary) + 1, bool)
     for at in range(0, len(keep), 4096):
-        cosine = both[at : at + 4096] @ index.queries.T / np.sqrt(norm[keep[at : at + 4096]])[:, None]
+        cosine = both[at : at + 4096] @ index.queries.T / np.minimum(np.sqrt(norm[keep[at : at + 4096]])[:, None], index.length)
         near = cosine >= COSINE
         for p in np.flatnonzero(near.any(1)).tolist():
             h, r = int(keep[at + p]), int(row[keep[at + p]])
@@ -231,7 +235,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     2. TF-IDF rows of all half passages over the benchmark's words go through a distributed randomised range finder;
        its Nystrom form gives the latent directions, to which the items' own vectors are joined.
     3. Every passage of 64 words (starting every 32) of every text is compared with every item passage by latent
-       cosine, in blocks of items; passages whose words cannot reach ``COSINE`` are passed over (Cauchy-Schwarz).
+       cosine, in blocks of items; passages whose words cannot reach ``COSINE`` are passed over.  A passage counts as
+       no longer than the item passage, so what stands around a copy does not matter: one of the passages that meet
+       an exact copy holds half of its squared length or more, however common its words are.
     4. A candidate counts if a common subsequence around it carries ``SURE`` of the item's word weight, or ``LIKELY``
        of it and ``ANSWER`` of its last quarter, where the answer stands.
 
@@ -271,12 +277,14 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
     index = Index(vocabulary, idf[: len(vocabulary)], idf[len(vocabulary) :])
     index.items = _item_tables(texts, ids, vocabulary)
 
-    passages, owner = [], []
+    passages, owner, length, most = [], [], [], []
     for number, (_, words, _) in enumerate(index.items):
         for at in range(0, len(words), 2 * HALF_PASSAGE):
             v = np.zeros(len(vocabulary))
             np.add.at(v, words[at : at + 2 * HALF_PASSAGE], index.idf[words[at : at + 2 * HALF_PASSAGE]])
-            passages.append(v / np.linalg.norm(v))
+            length.append(np.linalg.norm(v))
+            most.append(np.unique(words[at : at + 2 * HALF_PASSAGE], return_counts=True)[1].max())
+            passages.append(v / length[-1])
             owner.append(number)
     vectors = np.array(passages)
     rank = min(RANK, len(vocabulary))
@@ -288,7 +296,7 @@ def build_index(docs: DataFrame, ids: list[int], texts: list[str]) -> Index | No
     index.basis = decompose(y, omega, vectors)
     latent = (vectors @ index.basis).astype(np.float32)
     index.queries = latent / np.maximum(np.linalg.norm(latent, axis=1, keepdims=True), 1e-9)
-    index.owner = np.array(owner)
+    index.owner, index.length, index.most = np.array(owner), np.array(length), np.array(most)
     return index
 
 
