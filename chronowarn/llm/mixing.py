@@ -36,6 +36,11 @@ def _posteriors(model, text_at: int):
     return run
 
 
+def is_toxic() -> Column:
+    """Whether toxic is the likeliest domain of a row of ``memberships``; equal posteriors name none."""
+    return F.col(f"p_{DOMAINS[2]}") > F.greatest(*[F.col(f"p_{d}") for d in DOMAINS[:2]])
+
+
 def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry: bool = False) -> DataFrame:
     """doc_id, tokens (words between white space) and the posterior of every domain, for every row of ``docs``.
 
@@ -115,11 +120,13 @@ def mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, most: float = 1.0,
     return with_rates(members, fit_rates(members, weights, most), most)
 
 
-def apply_mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, most: float = 1.0, sample: int = SAMPLE) -> DataFrame:
+def apply_mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, most: float = 1.0, sample: int = SAMPLE, reject: bool = False) -> DataFrame:
     """``docs`` with every row as often as ``mix`` says; all columns stay.
 
-    Rows travel with their memberships, so null or repeated ids make no difference.
+    With ``reject`` rows of which toxic is the likeliest domain go first (without labels no domain is), and the others
+    are mixed.  Rows travel with their memberships, so null or repeated ids make no difference.
     """
     members = memberships(docs, labels, sample, carry=True)
+    members = members.where(~is_toxic()) if reject else members
     chosen = with_rates(members, fit_rates(members, weights, most), most).where("copies > 0")
     return chosen.select("_row", F.explode(F.expr("sequence(1, copies)"))).select("_row.*")

@@ -32,8 +32,8 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned until expected domain tokens meet the target weights; clean documents keep a rate of one."""
-    return apply_mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    """Documents that are not toxic, thinned toward the target weights of expected domain tokens."""
+    return apply_mix(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), reject=True)
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
