@@ -138,6 +138,12 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "tokens", *[F.round(c, 6).alias(c) for c in (*[f"p_{d}" for d in DOMAINS], "rate")], "copies")
 
 
+@llm_query()
+def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.toxicity import toxicity
+    return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 @llm_query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
