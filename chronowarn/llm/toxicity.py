@@ -20,7 +20,7 @@ from chronowarn.llm.shared import written
 SHORTEST, LONGEST = 3, 6
 BITS = 20                # buckets of n-grams; the tables that travel have this size, whatever the input
 SAMPLE = 10_000          # labelled documents at most that the fit sees: those with the smallest hash of doc_id
-TELLING = 5.0            # standard deviations by which a bucket's share of toxic documents must differ from chance
+TELLING = 4.0            # standard deviations by which a bucket's share of toxic documents must differ from chance
 VECTORS = 1 << 15        # buckets with vectors at most, those furthest from chance
 WIDTH = 8                # numbers in a vector
 PADDING = 4.0            # zero vectors in every average, so that one weak n-gram alone says little
