@@ -138,6 +138,34 @@ def op9_mixing(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "tokens", *[F.round(c, 6).alias(c) for c in (*[f"p_{d}" for d in DOMAINS], "rate")], "copies")
 
 
+def vector_sql(parts: int = 4, entries: int = 256, rounds: int = 4) -> str:
+    """Exact product codes in DuckDB: every round as relations ``a<r>`` (nearest entries) and ``c<r>`` (codebooks)."""
+    out = [f"""k AS MATERIALIZED (SELECT vec_id, label, row_number() OVER () AS rid, list_transform(embedding, lambda x: CAST(floor(CAST(x AS DOUBLE) * 1024) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+           f"""p AS MATERIALIZED (SELECT rid, q.part, v[CAST(q.part * len(v) // {parts} AS BIGINT) + 1 : CAST((q.part + 1) * len(v) // {parts} AS BIGINT)] AS x
+  FROM k, (SELECT unnest(range({parts})) AS part) q)""",
+           f"""s AS (SELECT rid, row_number() OVER (ORDER BY vec_id, v) - 1 AS entry FROM k WHERE vec_id IS NOT NULL),
+c0 AS MATERIALIZED (SELECT part, entry, x AS e FROM s JOIN p USING (rid) WHERE entry < {entries})"""]
+    for r in range(rounds + 1):
+        out.append(f"""a{r} AS MATERIALIZED (SELECT rid, part, min(far * {entries} + entry) % {entries} AS entry, min(far) AS far, any_value(x) AS x
+  FROM (SELECT rid, p.part, entry, x, CAST(list_sum(list_transform(list_zip(x, e), lambda t: (t[1] - t[2]) * (t[1] - t[2]))) AS BIGINT) AS far
+        FROM p JOIN c{r} c ON c.part = p.part) GROUP BY rid, part)""")
+        if r < rounds:
+            out.append(f"""m{r} AS MATERIALIZED (SELECT part, entry, list(CAST(t - ((t % n) + n) % n AS BIGINT) // n ORDER BY place) AS e
+  FROM (SELECT part, entry, place, sum(x[place]) AS t, count(*) AS n FROM (SELECT part, entry, x, unnest(range(1, len(x) + 1)) AS place FROM a{r}) GROUP BY part, entry, place) GROUP BY part, entry),
+c{r + 1} AS MATERIALIZED (SELECT c.part, c.entry, coalesce(m.e, c.e) AS e FROM c{r} c LEFT JOIN m{r} m ON m.part = c.part AND m.entry = c.entry)""")
+    out.append(f"""h AS (SELECT sha256(string_agg(array_to_string(e, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM c{rounds}),
+w AS MATERIALIZED (SELECT rid, string_agg(printf('%02x', CAST(entry AS INTEGER)), '' ORDER BY part) AS code, CAST(sum(far) AS BIGINT) AS error FROM a{rounds} GROUP BY rid)""")
+    return "WITH " + ",\n".join(out) + """
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256, label FROM k JOIN w USING (rid), h"""
+
+
+@llm_query(vector_sql())
+def op11_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.vector_codes import vector_codes
+    return vector_codes(table(spark, folder, "embeddings"))
+
+
 @llm_query()
 def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     from chronowarn.llm.toxicity import toxicity
