@@ -172,6 +172,49 @@ def op12_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def repair_sql() -> str:
+    """Damage, faults and the cheapest repair in DuckDB: a row of every conversation a step, from state to state (0 nothing, 1 s, 2 u, 3 a)."""
+    crc = f"xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(g, ''), lambda c: CAST(ord(c) AS BIGINT))), lambda x, y: xor(x >> 8, {crc_table()}[xor(x & 255, y) + 1])))"
+    blank = r"[^\x20\x09-\x0D]"
+    inserts = [(0, 0, ""), (1, 1, ""), (2, 2, ""), (3, 3, ""), (0, 2, "u"), (1, 2, "u"), (3, 2, "u"), (2, 3, "a"), (0, 3, "ua"), (1, 3, "ua"), (2, 2, "au"), (3, 3, "ua")]
+    said = {"u": "user:", "a": "assistant:"}
+    closure = ", ".join(f"({x}, {y}, {5 * len(w)}, '{'I' * len(w)}', [{', '.join(repr(said[c]) for c in w)}]::VARCHAR[])" for x, y, w in inserts)
+    edits = [("D", x, x, c, 2) for x in range(4) for c in "sua?"]
+    edits += [("K", x, y, c, 0) for c, y, xs in (("s", 1, (0,)), ("u", 2, (0, 1, 3)), ("a", 3, (2,))) for x in xs]
+    edits += [("R", x, y, c, 1) for y, xs in ((2, (0, 1, 3)), (3, (2,))) for x in xs for c in "sua?"]
+    table = ", ".join(f"('{e}', {x}, {y}, '{c}', {n})" for e, x, y, c, n in edits)
+    return f"""WITH RECURSIVE o AS MATERIALIZED (SELECT DISTINCT conv_id FROM conversations),
+g AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS g FROM conversations),
+k AS MATERIALIZED (SELECT *, {crc} % 20 AS k FROM g),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+  CASE WHEN k = 1 THEN '' WHEN k = 2 THEN translate(text, '.!?', '') ELSE text END AS text FROM k, (SELECT unnest(range(2)) AS copy) c WHERE k <> 0 AND (copy = 0 OR k = 3)),
+n AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE '?' END AS c,
+  CASE WHEN NOT regexp_matches(text, '{blank}') THEN 'blank' WHEN i > min(i) OVER (PARTITION BY conv_id, role, text) THEN 'duplicate'
+    WHEN right(rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault FROM n),
+l AS (SELECT *, lead(c) OVER (PARTITION BY conv_id ORDER BY i) AS c2 FROM f),
+t AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (c || c2 NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM l GROUP BY conv_id),
+w(x, y, cost, letters, lines) AS (VALUES {closure}),
+e(letter, x, y, c, cost) AS (VALUES {table}),
+r AS (SELECT conv_id, CAST(0 AS BIGINT) AS i, 0 AS st, {{'c': CAST(0 AS BIGINT), 'a': '', 't': []::VARCHAR[]}} AS v FROM o
+  UNION ALL SELECT r.conv_id, f.i, e.y, min({{'c': CAST(r.v.c + w.cost + e.cost + CASE WHEN e.letter <> 'D' AND f.fault = 'truncated' THEN 5 ELSE 0 END AS BIGINT), 'a': r.v.a || w.letters || e.letter,
+    't': list_concat(list_concat(r.v.t, w.lines), CASE e.letter WHEN 'D' THEN []::VARCHAR[] WHEN 'K' THEN [f.role || ':' || f.text] ELSE [CASE e.y WHEN 2 THEN 'user:' ELSE 'assistant:' END || f.text] END)}})
+  FROM r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv_id AND f.i = r.i + 1 JOIN w ON w.x = r.st JOIN e ON e.x = w.y AND e.c = f.c AND (e.letter = 'D' OR f.fault IS NULL OR f.fault = 'truncated')
+  GROUP BY r.conv_id, f.i, e.y),
+b AS (SELECT r.conv_id, min({{'c': r.v.c + w.cost, 'a': r.v.a || w.letters, 't': list_concat(r.v.t, w.lines)}}) AS v
+  FROM r LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM r.conv_id JOIN w ON w.x = r.st AND w.y IN (0, 3) WHERE r.i = coalesce(t.n, 0) GROUP BY r.conv_id)
+SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+  CAST(b.v.c AS BIGINT) AS cost, b.v.a AS audit, sha256(array_to_string(b.v.t, chr(10))) AS repaired_sha256
+FROM o LEFT JOIN t ON t.conv_id IS NOT DISTINCT FROM o.conv_id JOIN b ON b.conv_id IS NOT DISTINCT FROM o.conv_id"""
+
+
+@llm_query(repair_sql())
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    from chronowarn.llm.conversations import repaired_conversations
+    return repaired_conversations(table(spark, folder, "conversations"))
+
+
 @llm_query()
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     import corpus_pipeline
