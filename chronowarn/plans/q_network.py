@@ -77,7 +77,7 @@ def _(spark, folder):
     return m.select("participant_id", "n", F.explode(F.array(*e)).alias("e")).select("participant_id", "e.i", "e.j", "n", rnd("e.r").alias("r"))
 
 
-@query("d02_classic_scores", "D2", with_ctes("zlong", f"SELECT participant_id, module, {sql_rnd('amplitude')} AS amplitude, {sql_rnd('internal')} AS internal, {sql_rnd('external')} AS external, {sql_rnd('score', 5)} AS score FROM ms",
+@query("d02_classic_scores", "D2", with_ctes("zwhole", f"SELECT participant_id, module, {sql_rnd('amplitude')} AS amplitude, {sql_rnd('internal')} AS internal, {sql_rnd('external')} AS external, {sql_rnd('score', 5)} AS score FROM ms",
     local="""pr AS MATERIALIZED (SELECT participant_id, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r FROM zwhole a JOIN zwhole b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8),
 sds AS MATERIALIZED (SELECT participant_id, j, stddev_samp(z) AS a FROM zlong GROUP BY ALL),""" + module_sql("pr", "sds", "r", ("participant_id",))))
 def _(spark, folder):
@@ -379,7 +379,7 @@ def _(spark, folder):
     return done.select("participant_id", "n", *[rnd(c, 5).alias(c) for c in ("participation_ratio", "largest_share", "mean_abs_r")])
 
 
-@query("a24_participation_ratio", "A24", with_ctes("zlong", f"""
+@query("a24_participation_ratio", "A24", with_ctes("zwhole", f"""
 SELECT participant_id, {sql_rnd('49 / (7 + 2 * sum(r * r))', 5)} AS participation_ratio, {sql_rnd('avg(abs(r))', 5)} AS mean_abs_r FROM (SELECT participant_id, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r
 FROM zwhole a JOIN zwhole b USING (participant_id, day) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= 8) GROUP BY 1"""))
 def _(spark, folder):

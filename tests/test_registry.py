@@ -44,3 +44,14 @@ def test_query_equals_its_sql(spark, name):
     left = sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect())
     right = sorted(str([r[names.index(c)] for c in sorted(names)]) for r in cur.fetchall())
     assert sorted(df.columns) == sorted(names) and left == right
+
+
+def test_every_reference_sql_binds():
+    con = duckdb.connect()
+    for p in Path("/root/testdata/sf0.001").glob("*.parquet"):
+        con.execute(f"CREATE VIEW {p.stem} AS SELECT * FROM '{p}'")
+    for name, sql in entry.oracle_sql().items():
+        try:
+            con.execute("EXPLAIN " + sql)
+        except duckdb.Error as error:
+            pytest.fail(f"{name}: {error}")
