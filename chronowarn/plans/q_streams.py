@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from chronowarn.functions import clock, textkeys
 from chronowarn.plans import base
+from chronowarn.plans.q_network import MODULES, module_sql
 from chronowarn.plans.registry import query, rnd, sql_rnd, table, with_ctes
 from chronowarn.session import checkpoint_root
 from chronowarn.streaming import alarms
+from chronowarn.streaming.windows import WindowRule, window_stream
 
 
 def _drain(stream, folder_name, mode="append"):
@@ -35,6 +37,41 @@ def _(spark, folder):
     return _drain(alarms.alarm_stream(_stream_of(s, "scores"), base.THRESHOLD), "alarms").withColumn("score", F.round("score", 6))
 
 
+RULES = (WindowRule(7, 6, 2), WindowRule(28, 23, 2))
+LEAST = 5  # complete vectors that a score needs
+STREAMED = f""", av AS (SELECT participant_id, day, any_value(timezone) AS timezone, max(available_at) AS av FROM obs_day GROUP BY ALL),
+rules(n, least, run) AS (VALUES {", ".join(str(tuple(r)) for r in RULES)}),
+z AS (SELECT DISTINCT participant_id, timezone FROM av),
+s AS (SELECT s.participant_id, s.day, ((CAST(s.day + 1 AS TIMESTAMP) + INTERVAL 12 HOUR) AT TIME ZONE z.timezone) AT TIME ZONE 'UTC' AS as_of FROM spine s JOIN z USING (participant_id)),
+done AS (SELECT participant_id, max(day) AS last FROM s JOIN av USING (participant_id, day) WHERE as_of < (SELECT max(av) - INTERVAL 1 HOUR FROM av) GROUP BY ALL),
+t AS MATERIALIZED (SELECT s.* FROM s JOIN done USING (participant_id) WHERE day <= last),
+w AS MATERIALIZED (SELECT t.participant_id, t.day, n, o.o, t.day - o.o AS d, coalesce(av.av <= t.as_of, FALSE) AS ok FROM t CROSS JOIN rules JOIN (SELECT CAST(unnest(range(28)) AS INTEGER) AS o) o ON o.o < n
+  LEFT JOIN av ON av.participant_id = t.participant_id AND av.day = t.day - o.o),
+r AS (SELECT *, o - row_number() OVER (PARTITION BY participant_id, day, n, ok ORDER BY o) AS g FROM w),
+l AS (SELECT participant_id, day, n, max(k) AS longest FROM (SELECT participant_id, day, n, g, count(*) AS k FROM r WHERE NOT ok GROUP BY ALL) GROUP BY ALL),
+c AS (SELECT participant_id, day, n, CAST(sum(CASE WHEN ok THEN 1 ELSE 0 END) AS INTEGER) AS complete_days, bool_or(ok AND o = 0) AS here FROM w GROUP BY ALL),
+zw AS MATERIALIZED (SELECT w.participant_id, w.day, w.n, w.d, z.j, z.z FROM w JOIN zwhole z ON z.participant_id = w.participant_id AND z.day = w.d WHERE w.ok),
+pr AS MATERIALIZED (SELECT participant_id, day, n, a.j AS i, b.j AS j, covar_samp(a.z, b.z) / (stddev_samp(a.z) * stddev_samp(b.z)) AS r FROM zw a JOIN zw b USING (participant_id, day, n, d) WHERE a.j < b.j GROUP BY ALL HAVING count(*) >= {LEAST}),
+sds AS MATERIALIZED (SELECT participant_id, day, n, j, stddev_samp(z) AS a FROM zw GROUP BY ALL),
+{module_sql("pr", "sds", "r", ("participant_id", "day", "n"))},
+sc AS (SELECT participant_id, day, n, {", ".join(f"{sql_rnd(f"max(CASE WHEN module = '{m}' THEN score END)", 4)} AS {m}" for m in MODULES)} FROM ms
+  SEMI JOIN (SELECT participant_id, day, n FROM sds GROUP BY ALL HAVING min(a) > 1e-12) varied USING (participant_id, day, n) GROUP BY ALL)
+SELECT c.participant_id, c.day, CAST(c.n AS INTEGER) AS window_days, complete_days, CAST(coalesce(longest, 0) AS INTEGER) AS longest_missing_run,
+ CASE WHEN NOT here THEN 'missing_target_day' WHEN complete_days < least THEN 'insufficient_complete_days' WHEN coalesce(longest, 0) > run THEN 'missing_run_too_long' END AS reason, {", ".join(MODULES)}
+FROM c JOIN rules USING (n) LEFT JOIN l ON l.participant_id = c.participant_id AND l.day = c.day AND l.n = c.n LEFT JOIN sc ON sc.participant_id = c.participant_id AND sc.day = c.day AND sc.n = c.n"""
+
+
+@query("r03_window_stream", "R3 W2 D3", with_ctes("spine obs_day zwhole", STREAMED))
+def _(spark, folder):
+    """7- and 28-day windows of every person and day that the stream's watermark has closed."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    arrived = base.observations(spark, folder).groupBy("participant_id", clock.research_day("start_at", "timezone").alias("day")).agg(
+        F.max("available_at").alias("available_at"), F.max("timezone").alias("timezone"))
+    vectors = arrived.join(base.scaled(spark, folder).select("participant_id", "day", "vec"), ["participant_id", "day"], "left")
+    out = _drain(window_stream(_stream_of(vectors, "vectors"), RULES, MODULES, minimum=LEAST), "windows")
+    return out.select("participant_id", "day", "window_days", "complete_days", "longest_missing_run", "reason", *[rnd(F.col("scores")[m], 4).alias(m) for m in MODULES])
+
+
 @query("r02_research_day_stream", "R2 R1", with_ctes("obs_day", """
 , d AS (SELECT participant_id, day, value, ((CAST(day AS TIMESTAMP) + INTERVAL 4 HOUR) AT TIME ZONE timezone) AT TIME ZONE 'UTC' AS opened FROM obs_day)
 SELECT participant_id, day, CAST(count(*) AS BIGINT) AS n_events, round(sum(value), 4) AS value_sum FROM d WHERE date_trunc('hour', opened) + INTERVAL 1 HOUR <= (SELECT max(opened) FROM d) - INTERVAL 48 HOUR GROUP BY ALL"""))
