@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import bisect
-import hashlib
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -15,55 +13,97 @@ from chronowarn.llm.shared import star_compare, written
 
 ANCHOR_WORDS = 3     # words of a line that may anchor an alignment
 BLOCK_WORDS = 8      # words of an aligned block that is deleted
-# No pair is passed over any more; only test_query_equals_brute_force, which repeats the earlier cut, reads these.
-RARE_SHARE, RARE_LEAST, COMMON_ANCHORS = 0.01, 10, 3
-SPACE = re.compile(r"[\x20\x09-\x0D]+")
-BASE = np.uint64(0x9E3779B97F4A7C15)
-UNBASE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+BASE = np.uint64(tokens.BASE)
 LINE = np.dtype([("hash", np.int64), ("words", np.int32)])
 
 
+def line_tables(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``LINE`` records of all lines of a column's texts, and where each row's lines begin in them.
+
+    A line's hash is a polynomial over its bytes without white space at its ends; the bytes are handled in pieces of a
+    fixed size, whatever the length of a text or line.
+    """
+    n = len(data)
+    stops = np.flatnonzero(data == 0x0A)
+    ends = np.sort(np.r_[stops, offsets[1:]])                  # a line ends at a line feed or with its text
+    starts = np.sort(np.r_[stops + 1, offsets[:-1]])
+    cut = np.r_[0, np.cumsum(np.diff(np.searchsorted(stops, offsets)) + 1)]
+    solid = tokens.NOT_SPACE[data]
+    fresh = solid.copy()
+    fresh[1:] &= ~solid[:-1]
+    fresh[offsets[(offsets < n)]] = solid[offsets[(offsets < n)]]
+    words = np.flatnonzero(fresh)
+    out = np.zeros(len(ends), LINE)
+    out["words"] = np.searchsorted(words, ends) - np.searchsorted(words, starts)
+    some = np.flatnonzero(out["words"])
+    places = np.flatnonzero(solid)
+    first, last = places[np.searchsorted(places, starts[some])], places[np.searchsorted(places, ends[some]) - 1] + 1
+    value = np.zeros(len(some), np.uint64)
+    for at in range(0, n, tokens.PIECE):
+        part = data[at : at + tokens.PIECE]
+        up, down = tokens.powers(len(part) + 1)
+        total = np.r_[np.uint64(0), np.cumsum((part.astype(np.uint64) + np.uint64(1)) * up[: len(part)])]
+        a, b = np.searchsorted(last, at, side="right"), np.searchsorted(first, at + len(part))
+        x, y = np.maximum(first[a:b] - at, 0), np.minimum(last[a:b] - at, len(part))
+        ahead = np.array([pow(tokens.BASE, int(k), 1 << 64) for k in (at - first[a:b])[first[a:b] < at]], np.uint64)   # lines begun in an earlier piece
+        scale = down[x].copy()
+        scale[first[a:b] < at] = ahead
+        value[a:b] += (total[y] - total[x]) * scale
+    out["hash"][some] = tokens.mix(value + (last - first).astype(np.uint64)).view(np.int64)
+    return out, cut
+
+
 def line_table(text: str) -> np.ndarray:
     """Hash and number of words of every line of ``text`` (white space at a line's ends does not matter)."""
-    out = []
-    for line in text.split("\n"):
-        words = [w for w in SPACE.split(line) if w]
-        out.append((int.from_bytes(hashlib.blake2b(line.strip(" \t\x0b\x0c\r").encode(), digest_size=8).digest(), "little", signed=True), len(words)))
-    return np.array(out, LINE)
+    raw = text.encode("utf-8", "surrogatepass")
+    return line_tables(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]))[0]
 
 
-def runs(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+def runs(lines: np.ndarray, cut: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """First line, last line and hash of the shortest runs of adjacent lines that a block may be.
 
-    Such a run has ``BLOCK_WORDS`` words and a line of ``ANCHOR_WORDS``.  The first so many (the last number) begin at
-    each line that has words, the rest end at each.  A block common to two documents is covered by runs common to them.
+    Such a run has ``BLOCK_WORDS`` words and a line of ``ANCHOR_WORDS``, and lies in one of the texts that begin at the
+    lines ``cut``.  The first so many (the last number) begin at each line that has words, the rest end at each.  A block
+    common to two documents is covered by runs common to them.
     """
+    cut = np.array([0, len(lines)]) if cut is None else cut
     words = lines["words"].astype(np.int64)
     some, strong = np.flatnonzero(words), np.flatnonzero(words >= ANCHOR_WORDS)
     if not len(strong):
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), 0
+    text = np.searchsorted(cut, some, side="right")
+    begin, end = cut[text - 1], cut[text]
     total = np.r_[0, np.cumsum(words)]
     stop = np.searchsorted(total, total[some] + BLOCK_WORDS) - 1
-    at = np.searchsorted(strong, some)
-    good = (stop < len(lines)) & (at < len(strong))
-    first, last = some[good], np.maximum(stop, strong[np.minimum(at, len(strong) - 1)])[good]
+    after = np.searchsorted(strong, some)
+    last = np.maximum(stop, np.where(after < len(strong), strong[np.minimum(after, len(strong) - 1)], len(lines)))
+    good = last < end
+    first, last = some[good], last[good]
     ahead = len(first)
     start = np.searchsorted(total, total[some + 1] - BLOCK_WORDS, side="right") - 1
-    at = np.searchsorted(strong, some, side="right") - 1
-    good = (start >= 0) & (at >= 0)
-    first, last = np.r_[first, np.minimum(start, strong[np.maximum(at, 0)])[good]], np.r_[last, some[good]]
-    power = np.cumprod(np.full(len(lines), BASE))  # wraps: the hash of a run is a polynomial modulo 2^64
-    value = np.r_[np.uint64(0), np.cumsum(lines["hash"].astype(np.uint64) * power)]
-    back = np.cumprod(np.full(len(lines), UNBASE))
-    mixed = (value[last + 1] - value[first]) * back[first] + (last - first).astype(np.uint64)
+    before = np.searchsorted(strong, some, side="right") - 1
+    left = np.minimum(start, np.where(before >= 0, strong[np.maximum(before, 0)], -1))
+    good = left >= begin
+    first, last = np.r_[first, left[good]], np.r_[last, some[good]]
+    up, down = tokens.powers(len(lines) + 1)     # wraps: the hash of a run is a polynomial modulo 2^64
+    value = np.r_[np.uint64(0), np.cumsum(lines["hash"].astype(np.uint64) * up[: len(lines)])]
+    value = (value[last + 1] - value[first]) * down[first]
+    mixed = (value + (last - first).astype(np.uint64))
     mixed = (mixed ^ (mixed >> np.uint64(29))) * BASE
     mixed ^= mixed >> np.uint64(32)
     return first, last, np.where(first == last, lines["hash"][first], mixed.astype(np.int64)), ahead
 
 
-def anchors(lines: np.ndarray) -> np.ndarray:
-    """Hashes of the lines of ``ANCHOR_WORDS`` words or more and of the runs that may be blocks, each once."""
-    return np.unique(np.r_[lines["hash"][lines["words"] >= ANCHOR_WORDS], runs(lines)[2]])
+def anchors(lines: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of the lines of ``ANCHOR_WORDS`` words or more and of the runs that may be blocks, each once a text."""
+    strong = np.flatnonzero(lines["words"] >= ANCHOR_WORDS)
+    first, _, hashes, _ = runs(lines, cut)
+    text = np.searchsorted(cut, np.r_[strong, first], side="right") - 1
+    value = np.r_[lines["hash"][strong], hashes]
+    order = np.lexsort((value, text))
+    text, value = text[order], value[order]
+    new = np.r_[True, (text[1:] != text[:-1]) | (value[1:] != value[:-1])] if len(text) else np.zeros(0, bool)
+    return text[new], value[new]
 
 
 def _increasing(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -177,11 +217,14 @@ def _several(found) -> np.ndarray:
 
 
 def _lines(batches):
-    for batch in tokens.pieces(batches):
-        tables = [line_table(t) for t in batch.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays([
-            batch.column(0), batch.column(1), pa.array([t.tobytes() for t in tables], pa.binary()),
-            pa.array([anchors(t) for t in tables], pa.list_(pa.int64()))], ["doc_id", "text_key", "data", "anchors"])
+    for batch in tokens.pieces(batches, 1 << 20):
+        if not batch.num_rows:
+            continue
+        lines, cut = line_tables(*tokens.text_bytes(batch.column(2)))
+        text, value = anchors(lines, cut)
+        held = pa.ListArray.from_arrays(pa.array(np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)), pa.array(value))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([lines[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary()), held],
+                                         ["doc_id", "text_key", "data", "anchors"])
 
 
 def _compare(batches):
@@ -200,7 +243,7 @@ def _compare(batches):
             if lines:
                 ids.append(id_)
                 found.append(lines)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.list_(pa.int32()))], ["doc_id", "lines"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(found, pa.list_(pa.int32()))], ["text_key", "lines"])
 
 
 def _cut(batches):
@@ -227,33 +270,34 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
        document, pairs the first document that holds it with each later one: at most as many pairs as lines and runs,
        however frequent one is.  All pairs are compared.
     3. Patience diff aligns each pair; blocks of ``BLOCK_WORDS`` words go from the later document, and of a passage that
-       stands several times in one of the two every copy in the later.  Only line hashes travel, the first document
-       once per block of partners.
+       stands several times in one of the two every copy in the later.  Line hashes travel for that, the first document's
+       once per block of partners; texts are shuffled once, when the lines are cut out.
 
     Null text stays null, empty text stays; a null doc_id is left whole; rows that repeat an id and text lose the
-    same lines, and of rows that repeat an id with different texts only the one with the smallest text hash is
-    compared.  Empty input gives no rows; extra columns are ignored.
+    same lines, and of rows that repeat an id with different texts the one with the smaller text hash is the earlier.
+    Empty input gives no rows; extra columns are ignored.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    keyed = docs.select("doc_id", F.md5("text").alias("text_key"), "text")
+    keyed = docs.select("doc_id", F.unhex(F.md5("text")).alias("text_key"), "text")
     lined = written(keyed.where("doc_id is not null and text is not null").mapInArrow(
-        _lines, "doc_id long, text_key string, data binary, anchors array<long>"), "lines")
+        _lines, "doc_id long, text_key binary, data binary, anchors array<long>"), "lines")
     classes = written(lined.groupBy("text_key").agg(F.min("doc_id").alias("doc_id")), "texts")
     heads = lined.join(classes, ["text_key", "doc_id"], "left_semi")
-    heads = written(heads.groupBy("doc_id").agg(F.min(F.struct("text_key", "data", "anchors")).alias("s")).select("doc_id", "s.*"), "heads")
+    heads = written(heads.groupBy("text_key").agg(F.min(F.struct("doc_id", "data", "anchors")).alias("s")).select("text_key", "s.*"), "heads")
 
-    held = heads.select("doc_id", F.explode("anchors").alias("line"))
-    firsts = held.groupBy("line").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("df")).where("df > 1")
-    shared = held.join(firsts, "line").where("doc_id <> head")
-    pairs = written(shared.select("head", F.col("doc_id").alias("member")).distinct(), "line-pairs")
-    found = star_compare(pairs, heads.select(F.col("doc_id").alias("id"), "data"), _compare, "doc_id long, lines array<int>")
-    found = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("lines")))).alias("lines"))  # a document's own lines
+    held = heads.select("doc_id", "text_key", F.explode("anchors").alias("line"))
+    firsts = held.groupBy("line").agg(F.min(F.struct("doc_id", "text_key")).alias("s"), F.count(F.lit(1)).alias("df")).where("df > 1")
+    firsts = written(firsts.select("line", F.col("s")["text_key"].alias("head")), "first-holders")   # a table, so that a frequent line's holders can be dealt over tasks
+    shared = held.join(firsts, "line").where("text_key <> head")
+    pairs = written(shared.select("head", F.col("text_key").alias("member")).distinct(), "line-pairs")
+    found = star_compare(pairs, heads.select(F.col("text_key").alias("id"), "data"), _compare, "text_key binary, lines array<int>")
+    found = found.select("text_key", F.explode("lines").alias("line")).groupBy("text_key").agg(F.array_sort(F.collect_set("line")).alias("lines"))  # a text's own lines
 
-    first = heads.join(found, "doc_id", "left").select(F.col("doc_id").alias("first"), "text_key", "lines", "data")
+    first = heads.join(found, "text_key", "left").select(F.col("doc_id").alias("first"), "text_key", "lines", "data")
     marks = lined.select("doc_id", "text_key").distinct().join(first, "text_key").select(
         "doc_id", "text_key", F.when(F.col("doc_id") == F.col("first"), F.col("lines")).alias("lines"),
         F.when(F.col("doc_id") != F.col("first"), F.col("data")).alias("copy"))
-    marks = written(marks.mapInArrow(_whole, "doc_id long, text_key string, lines array<int>").where("size(lines) > 0"), "marks")
+    marks = written(marks.mapInArrow(_whole, "doc_id long, text_key binary, lines array<int>").where("size(lines) > 0"), "marks")
     left = keyed.join(marks, ["doc_id", "text_key"], "left")
     return left.select("doc_id", "text", "lines").mapInArrow(_cut, "doc_id long, text string, n_lines long, removed array<int>")
 

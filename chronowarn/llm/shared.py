@@ -33,7 +33,8 @@ def star_compare(pairs: DataFrame, payload: DataFrame, compare, schema: str, blo
         "head", "block", F.lit(1).alias("role"), F.col("member").alias("id"), "data")
     heads = dealt.select("head", "block").distinct().join(payload.withColumnRenamed("id", "head"), "head").select(
         "head", "block", F.lit(0).alias("role"), F.col("head").alias("id"), "data")
-    rows = heads.unionByName(members).repartition("head", "block").sortWithinPartitions("head", "block", "role", "id")
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))   # a stated number: short rows that cost much are not merged by their bytes
+    rows = heads.unionByName(members).repartition(tasks, "head", "block").sortWithinPartitions("head", "block", "role", "id")
     return rows.mapInArrow(compare, schema)
 
 

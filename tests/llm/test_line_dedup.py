@@ -1,9 +1,10 @@
+import hashlib
 import random
 
 import numpy as np
 
-from chronowarn.llm.line_dedup import BLOCK_WORDS, align, common_lines, dedup_lines, line_table
-from chronowarn.llm.queries import QUERIES
+from chronowarn.llm import tokens
+from chronowarn.llm.line_dedup import BLOCK_WORDS, align, common_lines, dedup_lines, line_table, line_tables, runs
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -57,31 +58,36 @@ def test_later_document_loses_the_block(docs_of):
     assert dedup_lines(df.where("false")).collect() == []
 
 
-def test_query_equals_brute_force(spark):
-    """Every pair (first holder of some anchor line, later document) aligned in plain Python."""
-    texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{FOLDER}/documents.parquet").collect()}
-    from chronowarn.llm import line_dedup as ld
-    first, tables = {}, {}
-    for d in sorted(texts):
-        first.setdefault(texts[d], d)
-    heads = sorted(set(first.values()))
-    for d in heads:
-        tables[d] = line_table(texts[d])
-    holders = {}
-    for d in heads:
-        for h in ld.anchors(tables[d]).tolist():
-            holders.setdefault(h, []).append(d)
-    shared = {}
-    for h, ds in holders.items():
-        for d in ds[1:]:
-            shared.setdefault((ds[0], d), []).append(len(ds) <= max(ld.RARE_LEAST, len(heads) * ld.RARE_SHARE))
-    removed = {d: set() for d in texts}
-    for (a, b), rare in shared.items():
-        if any(rare) or len(rare) >= ld.COMMON_ANCHORS:
-            removed[b] |= set(common_lines(tables[a], tables[b]))
-    for d, text in texts.items():
-        if first[text] != d:
-            t = tables[first[text]]
-            removed[d] = set(np.flatnonzero(t["words"]).tolist()) if t["words"].sum() >= BLOCK_WORDS and t["words"].max() >= ld.ANCHOR_WORDS else set()
-    got = {r["doc_id"]: r["removed"] for r in QUERIES["op7_line_dedup"](spark, FOLDER).collect()}
-    assert got == {d: ",".join(map(str, sorted(s))) for d, s in removed.items()} and any(got.values())
+def test_rows_that_repeat_an_id_are_compared(docs_of):
+    rng = random.Random(6)
+    block, own = [sentence(rng) for _ in range(2)], lambda: [sentence(rng)]
+    rows = [(1, block + own()), (1, own() + block), (2, own() + block + own())]
+    rows = [(i, "\n".join(t)) for i, t in rows]
+    got = {}
+    for r in dedup_lines(docs_of(rows)).collect():
+        got.setdefault(r["doc_id"], []).append(r["removed"])
+    later = max(rows[:2], key=lambda r: hashlib.md5(r[1].encode()).digest())[1]
+    assert got[2] == [[1, 2]] and sorted(got[1]) == sorted([[], [0, 1] if later == rows[0][1] else [1, 2]])
+
+
+def test_tables_of_a_column_equal_plain_lines(monkeypatch):
+    rng = random.Random(7)
+    pool = ["", " ", "one", " one\t", "two words", "ünï cödé line", "x" * 300, "a b c d e f g h i", "\r", "A one"]
+    texts = ["\n".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(60)] + ["", "\n", "\n\n a", "word " * 3000]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.r_[0, np.cumsum([len(r) for r in raw])]
+    for piece in (1 << 18, 64):
+        monkeypatch.setattr(tokens, "PIECE", piece)
+        lines, cut = line_tables(data, offsets)
+        seen = {}
+        for text, a, b in zip(texts, cut[:-1], cut[1:]):
+            plain = text.split("\n")
+            assert lines["words"][a:b].tolist() == [len(x.split()) for x in plain]
+            for h, x in zip(lines["hash"][a:b].tolist(), plain):
+                assert seen.setdefault(h, x.strip()) == x.strip()
+            assert np.array_equal(line_table(text), lines[a:b])
+        assert len(seen) == len({x.strip() for t in texts for x in t.split("\n")})
+        first, last, hashes, _ = runs(lines, cut)
+        at = np.searchsorted(cut, first, side="right") - 1
+        one = [(f + cut[i], n + cut[i], h) for i in range(len(texts)) for f, n, h in zip(*runs(lines[cut[i] : cut[i + 1]])[:3])]
+        assert sorted(zip(first.tolist(), last.tolist(), hashes.tolist())) == sorted((int(f), int(n), int(h)) for f, n, h in one) and (last < cut[at + 1]).all()
