@@ -4,7 +4,9 @@ from pyspark.sql import functions as F
 
 from chronowarn.functions import textkeys
 from chronowarn.functions.ordering import linear_quantiles
-from chronowarn.operators import evaluate, learners, network, windows
+from chronowarn.functions.hashing import hash_int
+from chronowarn.operators import crossfit, evaluate, isotonic, learners, network, windows
+from chronowarn.operators.splits import grouped_stratified_folds
 from chronowarn.plans import base, q_evaluate, q_text
 from chronowarn.plans.registry import query, rnd, table, with_ctes, sql_rnd
 from chronowarn.session import materialise, shared_table
@@ -55,6 +57,48 @@ def _(spark, folder):
     return spark.createDataFrame([(n, float(round(c, 6))) for n, c in zip(("deviation", "mean_n_events"), coef)], "feature string, coefficient double")
 
 
+PENALTIES, STRENGTHS = (0.001, 0.01, 0.1), (0.0, 0.25, 0.5, 0.75)
+
+
+@query("m01_family_selection", "M1 M3")
+def _(spark, folder):
+    """Logistic, spline-logistic and boosted trees by mean average precision over the same person folds."""
+    rows = examples(spark, folder)
+    folds = grouped_stratified_folds(rows, "participant_id", "label", base.SEED, 3).select("participant_id", "fold")
+    assigned = materialise(rows.join(folds, "participant_id"), "assigned")
+    scored = crossfit.cross_fitted(assigned, NAMES, [*crossfit.LOGISTIC, *crossfit.SPLINES], person="participant_id", label="label")
+    trees = learners.out_of_fold(rows, SPECS[2], NAMES, person="participant_id", label="label", seed=base.SEED, folds=3)
+    trees = trees.select("participant_id", F.col("label").cast("double").alias("y"), "fold", F.lit("boosted_trees depth=2").alias("setting"), "p")
+    found = crossfit.best_settings(crossfit.precision_by_fold(materialise(scored.unionByName(trees), "out-of-fold")), F.substring_index("setting", " ", 1))
+    return found.select("family", "setting", rnd("mean_precision", 6).alias("mean_precision"), "best_of_family", "selected")
+
+
+@query("m06_penalty_selection", "M6")
+def _(spark, folder):
+    rows = examples(spark, folder).dropna(subset=["deviation", "mean_n_events"])
+    chosen, table_, model = crossfit.select_penalty(rows, ["deviation", "mean_n_events"], PENALTIES, person="participant_id", label="label", seed=base.SEED)
+    slope = {n: float(round(b, 6)) for n, b in zip(("deviation", "mean_n_events"), model.beta[1:])}
+    return table_.select("penalty", "fold", rnd("loss", 6).alias("loss"), rnd("mean_loss", 6).alias("mean_loss"), (F.col("penalty") == chosen).alias("selected"),
+                         *[F.when(F.col("penalty") == chosen, F.lit(v)).alias(f"slope_{n}") for n, v in slope.items()])
+
+
+@query("m07_strength_selection", "M7 P27", with_ctes("sdocs", f"""
+, r AS (SELECT *, CAST('0x' || left(md5('{base.SEED}|' || source), 8) AS BIGINT) % 2 AS fold, 1.0::DOUBLE / count(*) OVER (PARTITION BY metric, source) AS w FROM sdocs),
+c AS (SELECT metric, held, predicted AS x, sum(w) AS w, sum(w * truth) AS t, row_number() OVER (PARTITION BY metric, held ORDER BY predicted) AS i FROM r JOIN (VALUES (0), (1)) h(held) ON fold <> held GROUP BY metric, held, predicted),
+s AS MATERIALIZED (SELECT *, sum(w) OVER o AS cw, sum(t) OVER o AS ct FROM c WINDOW o AS (PARTITION BY metric, held ORDER BY i)),
+m AS (SELECT a.metric, a.held, a.i AS a, b.i, min((b.ct - a.ct + a.t) / (b.cw - a.cw + a.w)) OVER (PARTITION BY a.metric, a.held, a.i ORDER BY b.i DESC) AS least FROM s a JOIN s b ON a.metric = b.metric AND a.held = b.held AND a.i <= b.i),
+g AS MATERIALIZED (SELECT s.metric, s.held, s.x, greatest(0, least(100, max(m.least))) AS y FROM m JOIN s ON s.metric = m.metric AND s.held = m.held AND s.i = m.i GROUP BY s.metric, s.held, s.x),
+e AS (SELECT r.*, lo.x AS x0, lo.y AS y0, hi.x AS x1, hi.y AS y1 FROM r ASOF LEFT JOIN g lo ON r.metric = lo.metric AND r.fold = lo.held AND r.predicted >= lo.x ASOF LEFT JOIN g hi ON r.metric = hi.metric AND r.fold = hi.held AND r.predicted <= hi.x),
+f AS (SELECT *, CASE WHEN x0 IS NULL THEN y1 WHEN x1 IS NULL OR x0 = x1 THEN y0 ELSE y0 + (y1 - y0) * (predicted - x0) / (x1 - x0) END AS f FROM e),
+a AS (SELECT metric, strength, sum(w * abs((1 - strength) * predicted + strength * f - truth)) / sum(w) AS mae FROM f, (VALUES {", ".join(f"({v}::DOUBLE)" for v in STRENGTHS)}) v(strength) GROUP BY ALL)
+SELECT metric, strength, {sql_rnd('mae', 5)} AS mae, strength = first_value(strength) OVER (PARTITION BY metric ORDER BY round(mae, 12), strength) AS selected FROM a"""))
+def _(spark, folder):
+    """Strength of the monotone correction per metric, by errors on sources that the curve has not seen."""
+    rows = q_text.scored(spark, folder).withColumn("fold", (hash_int(base.SEED, "source") % 2).cast("int"))
+    found, _ = isotonic.select_strength(rows, "predicted", "truth", "source", ["metric"], STRENGTHS)
+    return found.select("metric", "strength", rnd("mae", 5).alias("mae"), "selected")
+
+
 @query("m07_isotonic_curve", "M7 P27")
 def _(spark, folder):
     s = q_text.scored(spark, folder).filter("metric = 'length'")
