@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F
 
 from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock, textkeys
-from chronowarn.operators import alarm, evaluate, network, panel, resample, validate, wards, windows
+from chronowarn.operators import alarm, evaluate, network, panel, panel_bootstrap, resample, validate, wards, windows
 from chronowarn.plans import base, q_endpoints, q_evaluate, q_network, q_records, q_text
 from chronowarn.plans.registry import cte, query, rnd, sql_pmod, sql_rnd, table, with_ctes
 from chronowarn.session import checkpoint_root, materialise, shared_table
@@ -161,6 +161,58 @@ def _(spark, folder):
     return diff.agg(F.lit("counts_minus_clocks").alias("comparison"), rnd(F.percentile("v", 0.025)).alias("low"), rnd(F.percentile("v", 0.975)).alias("high"), F.count("v").alias("draws"))
 
 
+BOOT = 20
+BOOT_PANELS = {"clocks": (0, 1, 2, 3, 4), "meals": (2, 3, 4)}
+DRAWN = f"""dr AS MATERIALIZED (SELECT draw, participant_id, CAST(count(*) AS DOUBLE) AS w FROM (SELECT draw, CAST(('0x' || substring(md5('{base.SEED}|draw|' || draw || '|' || slot), 1, 8))::UBIGINT % n + 1 AS BIGINT) AS idx
+ FROM (SELECT DISTINCT n FROM idx), (SELECT unnest(range({BOOT})) AS draw) d, LATERAL (SELECT unnest(range(n)) AS slot) s) JOIN idx USING (idx) GROUP BY ALL UNION ALL SELECT -1, participant_id, 1.0::DOUBLE FROM idx)"""
+IDX = f"SELECT participant_id, row_number() OVER (ORDER BY md5('{base.SEED}|' || participant_id), participant_id) AS idx, count(*) OVER () AS n FROM"
+
+
+@query("a24_panel_intervals", "A24 A26", f"""
+WITH o AS (SELECT o_custkey AS participant_id, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS INTEGER) AS occasion, * FROM orders),
+c AS (SELECT participant_id, occasion, CASE WHEN o_orderstatus <> 'P' THEN CAST((o_orderkey * 7) % 1440 AS DOUBLE) END AS ss, CAST((o_orderkey * 13) % 1440 AS DOUBLE) AS se, CAST((o_custkey + o_orderkey) % 1440 AS DOUBLE) AS a, CAST((o_orderkey * 3) % 1440 AS DOUBLE) AS b, CAST((o_orderkey * 5) % 1440 AS DOUBLE) AS c FROM o WHERE occasion <= 4),
+full_ AS MATERIALIZED (SELECT * FROM c WHERE participant_id IN (SELECT participant_id FROM c GROUP BY 1 HAVING count(*) = 4 AND count(ss) = 4)),
+idx AS MATERIALIZED ({IDX} (SELECT DISTINCT participant_id FROM full_)), {DRAWN},
+x AS MATERIALIZED (SELECT participant_id, occasion, unnest([ss, se, a, b, c]) - 720 AS x, unnest(range(5)) AS j FROM full_),
+m AS (SELECT draw, p.occasion, p.j AS i, q.j, sum(w) AS n, sum(w * p.x) AS sx, sum(w * q.x) AS sy, sum(w * p.x * q.x) AS sxy, sum(w * p.x * p.x) AS sxx, sum(w * q.x * q.x) AS syy
+ FROM x p JOIN x q ON q.participant_id = p.participant_id AND q.occasion = p.occasion AND p.j < q.j JOIN dr ON dr.participant_id = p.participant_id GROUP BY ALL),
+r AS MATERIALIZED (SELECT draw, occasion, i, j, (sxy - sx * sy / n) / sqrt((sxx - sx * sx / n) * (syy - sy * sy / n)) AS r FROM m),
+mem(panel, i) AS (VALUES {", ".join(f"('{k}', {i})" for k, v in BOOT_PANELS.items() for i in v)}),
+e AS MATERIALIZED (SELECT a.panel, r.* FROM r JOIN mem a ON a.i = r.i JOIN mem b ON b.i = r.j AND b.panel = a.panel),
+g AS (SELECT panel, occasion, i, j, max(r) FILTER (draw < 0) AS pearson, quantile_cont(r, 0.025) FILTER (draw >= 0) AS low, quantile_cont(r, 0.975) FILTER (draw >= 0) AS high, count(r) FILTER (draw >= 0) AS valid_draws FROM e GROUP BY ALL),
+k AS (SELECT panel, CAST(count(*) AS DOUBLE) AS k FROM mem GROUP BY 1),
+pr AS (SELECT panel, occasion, draw, any_value(k) * any_value(k) / (any_value(k) + 2 * sum(r * r)) AS ratio, avg(abs(r)) AS mean_abs FROM e JOIN k USING (panel) GROUP BY ALL),
+s AS (SELECT panel, occasion, max(ratio) FILTER (draw < 0) AS participation_ratio, max(mean_abs) FILTER (draw < 0) AS mean_abs_r, quantile_cont(ratio, 0.025) FILTER (draw >= 0) AS ratio_low, quantile_cont(ratio, 0.975) FILTER (draw >= 0) AS ratio_high FROM pr GROUP BY ALL)
+SELECT g.panel, g.occasion, CAST(g.i AS INTEGER) AS i, CAST(g.j AS INTEGER) AS j, (SELECT CAST(count(*) AS BIGINT) FROM idx) AS people, {", ".join(f"{sql_rnd(c, 5)} AS {c}" for c in ("pearson", "low", "high"))}, CAST(valid_draws AS BIGINT) AS valid_draws,
+ {", ".join(f"{sql_rnd(c, 5)} AS {c}" for c in ("participation_ratio", "mean_abs_r", "ratio_low", "ratio_high"))} FROM g JOIN s USING (panel, occasion)""")
+def _(spark, folder):
+    """Every edge of two panels of the same people at four occasions, with intervals from one set of draws."""
+    cube = panel_bootstrap.participant_cube(q_records.ward_rows(spark, folder), "participant_id", "occasion", wards.CLOCK_FIELDS, (1, 2, 3, 4))
+    cube = materialise(cube.where("reason IS NULL"), "cube")
+    p = len(wards.CLOCK_FIELDS)
+    corr = panel_bootstrap.resampled_correlations(cube, "participant_id", p, (1, 2, 3, 4), BOOT, base.SEED)
+    summary = panel_bootstrap.panel_summary(corr, p, BOOT_PANELS, BOOT, cube.count()).select("panel", "occasion", F.col("people").cast("long").alias("people"), "participation_ratio", "mean_abs_r", "ratio_low", "ratio_high")
+    both = panel_bootstrap.panel_edges(corr, p, BOOT_PANELS, BOOT).join(summary, ["panel", "occasion"])
+    return both.select("panel", "occasion", "i", "j", "people", *[rnd(c, 5).alias(c) for c in ("pearson", "low", "high")], "valid_draws", *[rnd(c, 5).alias(c) for c in ("participation_ratio", "mean_abs_r", "ratio_low", "ratio_high")])
+
+
+@query("l14_metric_intervals", "L14", with_ctes("mdays", f"""
+, f AS MATERIALIZED (SELECT participant_id, label AS y, score AS s, CAST(score > {base.THRESHOLD} AS INTEGER) AS a FROM mdays WHERE role IN ('development', 'calibration') AND method = 'deviation' AND label IS NOT NULL AND score IS NOT NULL),
+idx AS MATERIALIZED ({IDX} (SELECT DISTINCT participant_id FROM f)), {DRAWN},
+b AS MATERIALIZED (SELECT draw, s, sum(w * y) AS p, sum(w * (1 - y)) AS q, sum(w * y * a) AS tp, sum(w * (1 - y) * a) AS fp FROM f JOIN dr USING (participant_id) GROUP BY ALL),
+u AS (SELECT *, sum(p) OVER o AS cp, sum(q) OVER o AS cq FROM b WINDOW o AS (PARTITION BY draw ORDER BY s DESC)),
+t AS (SELECT draw, sum(p) AS pos, sum(q) AS neg, sum(tp) AS tp, sum(fp) AS fp, sum(q * (cp - p / 2)) AS wins, sum(p * cp / (cp + cq)) AS area FROM u GROUP BY 1),
+v AS (SELECT draw, (tp + neg - fp) / (pos + neg) AS accuracy, tp / nullif(pos, 0) AS sensitivity, (neg - fp) / nullif(neg, 0) AS specificity, (tp / nullif(pos, 0) + (neg - fp) / nullif(neg, 0)) / 2 AS balanced_accuracy, wins / nullif(pos * neg, 0) AS roc_auc, CASE WHEN neg > 0 THEN area / nullif(pos, 0) END AS average_precision FROM t),
+l AS (UNPIVOT v ON accuracy, sensitivity, specificity, balanced_accuracy, roc_auc, average_precision INTO NAME metric VALUE v)
+SELECT metric, {sql_rnd('max(v) FILTER (draw < 0)', 5)} AS estimate, CAST(count(v) FILTER (draw >= 0) AS BIGINT) AS valid_draws,
+ CASE WHEN count(v) FILTER (draw >= 0) = {BOOT} THEN {sql_rnd('quantile_cont(v, 0.025) FILTER (draw >= 0)', 5)} END AS low, CASE WHEN count(v) FILTER (draw >= 0) = {BOOT} THEN {sql_rnd('quantile_cont(v, 0.975) FILTER (draw >= 0)', 5)} END AS high FROM l GROUP BY metric"""))
+def _(spark, folder):
+    """Alert and ranking metrics of the deviation score with person-resampled intervals."""
+    d = q_evaluate.method_days(spark, folder, "development", "calibration").filter("method = 'deviation'").withColumn("alert", (F.col("score") > base.THRESHOLD).cast("int"))
+    sampled = panel_bootstrap.resampled_metrics(d, "participant_id", "label", "score", "alert", BOOT, base.SEED)
+    return panel_bootstrap.metric_intervals(sampled, BOOT).select("metric", rnd("estimate", 5).alias("estimate"), "valid_draws", rnd("low", 5).alias("low"), rnd("high", 5).alias("high"))
+
+
 @query("o08_virtual_day_labels", "O8 P30", with_ctes("daily events_found", """
 SELECT d.participant_id, d.day, CASE WHEN d.day >= e.onset_day THEN NULL WHEN e.onset_day - d.day BETWEEN 1 AND 7 THEN 1 WHEN d.day + 9 > z.last_day THEN NULL ELSE 0 END AS label FROM daily d JOIN (SELECT participant_id, max(day) AS last_day FROM daily GROUP BY 1) z USING (participant_id) LEFT JOIN events_found e USING (participant_id)"""))
 def _(spark, folder):
