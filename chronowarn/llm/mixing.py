@@ -12,8 +12,9 @@ from chronowarn.llm.shared import whole_row, written
 
 DOMAINS = ("clean", "junk", "toxic")
 WEIGHTS = (0.90, 0.08, 0.02)
-STEPS = 40          # projected-gradient steps at most
-CLOSE = 1e-6        # share of the targets by which a step must still change the totals
+EASE = 1e-6         # weight of staying near a rate of one, in the error's units; it makes the optimum unique
+CLOSE = 1e-8        # share of the target total by which every domain must meet its condition at the optimum
+PASSES = 200        # passes after which a fit that has not come so close raises
 
 
 def domain(quality: Column, toxic: Column) -> Column:
@@ -52,56 +53,90 @@ def memberships(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, carry:
     return written(rows.mapInArrow(_posteriors(model, 0), schema), "memberships")
 
 
-def fit_rates(members: DataFrame, weights=WEIGHTS, most: float = 1.0) -> list[tuple[float, ...]]:
-    """Steps of projected gradient descent for the rates r_i in [0, ``most``], as one K-vector per step.
+def fit_rates(members: DataFrame, weights=WEIGHTS, most: float = 1.0) -> tuple[float, ...]:
+    """The K numbers u of the fitted rates: r_i = clip(1 - p_i . u) to [0, ``most``], the projection of a gradient step.
 
-    Minimises half the sum over domains of ((sum_i r_i tokens_i p_ik - T_k) / T)^2 from r = 1.  T_k is
-    weight_k * T, and T is chosen so that the first domain's target is the tokens it has.  In the metric of the
-    tokens the gradient of document i is p_i . v, with v the residuals over T; a step is r = clip(r - step * p_i . v).
-    So a step's whole state is its K numbers: every pass sends K sums to the driver and nothing else, and the rates
-    are recomputed from the list of steps in column arithmetic.
+    The rates minimise half the sum over domains of ((sum_i r_i tokens_i p_ik - T_k) / T)^2, plus ``EASE`` / 2 times
+    the tokens' mean of (r_i - 1)^2.  T_k is weight_k * T, and T is chosen so that the first domain's target is the
+    tokens it has.  In the metric of the tokens the gradient of document i is p_i . v, with v the residuals over T, so at
+    the optimum u is v / ``EASE``: the steps of projected gradient descent add up to one step from r = 1.
+
+    u is the least point of a convex function of K variables whose slope is u * EASE - v(u).  A pass over the documents
+    sums that function, its slope and its curvature over the documents between the bounds; the driver takes the Newton
+    step, halved while it does not descend.  So the common domain does not hold back a rare one, and nothing but a
+    few sums leaves the tasks.  Raises if ``PASSES`` passes do not bring every slope below ``CLOSE``.
     """
     k = len(DOMAINS)
-    share = [F.col("tokens") * F.col(f"p_{d}") for d in DOMAINS]
-    first = members.agg(*[F.sum(s).alias(f"s{i}") for i, s in enumerate(share)],
-                        *[F.sum(share[i] * F.col(f"p_{DOMAINS[j]}")).alias(f"g{i}{j}") for i in range(k) for j in range(k)]).first()
-    have = np.array([first[f"s{i}"] or 0.0 for i in range(k)])
-    target_total = have[0] / weights[0] if have[0] > 0 else have.sum()
-    if target_total <= 0:
-        return []
-    target = np.array(weights) * target_total
-    gram = np.array([[first[f"g{i}{j}"] for j in range(k)] for i in range(k)]) / target_total
-    size = 1 / max(np.linalg.eigvalsh(gram)[-1], 1e-12)
-    steps, now, state = [], have, members.select("tokens", *[f"p_{d}" for d in DOMAINS], F.lit(1.0).alias("_r"))
-    for n in range(STEPS):
-        v = tuple((size * (now - target) / target_total).tolist())
-        steps.append(v)
-        state = state.withColumn("_r", _step(F.col("_r"), v, most))
-        if n % 8 == 7:
-            state = written(state, "rates")  # keeps the expression short
-        row = state.agg(*[F.sum(F.col("_r") * s).alias(f"s{i}") for i, s in enumerate(share)]).first()
-        now, last = np.array([row[f"s{i}"] for i in range(k)]), now
-        if np.abs(now - last).max() <= CLOSE * target_total:
-            break
-    return steps
-
-
-def _step(r: Column, v: tuple[float, ...], most: float) -> Column:
-    move = sum((F.col(f"p_{d}") * x for d, x in zip(DOMAINS[1:], v[1:])), F.col(f"p_{DOMAINS[0]}") * v[0])
-    return F.least(F.greatest(r - move, F.lit(0.0)), F.lit(float(most)))
-
-
-def with_rates(members: DataFrame, steps, most: float = 1.0) -> DataFrame:
-    """``members`` with rate, from the fitted steps, and the whole number of copies."""
-    r = F.lit(1.0)
-    for v in steps:
-        r = _step(r, v, most)
-    return members.withColumn("rate", r).withColumn("copies", copies(F.col("rate")))
+    have = _token_sums(members, lambda t, p: t @ p)
+    total = have[0] / weights[0] if have[0] > 0 else have.sum()
+    if total <= 0:
+        return (0.0,) * k
+    target = np.array(weights)
+
+    def at(u: np.ndarray, ease: float):
+        def sums(t, p):
+            z = p @ u
+            loss = np.where(z > 1, 0.0, np.where(z < 1 - most, most * (1 - z) - most * most / 2, (1 - z) ** 2 / 2))
+            inside = t * ((z < 1) & (z > 1 - most))
+            return np.r_[t @ loss, (t * np.clip(1 - z, 0.0, most)) @ p, ((p * inside[:, None]).T @ p).ravel()]
+
+        found = _token_sums(members, sums) / total
+        slope = target - found[1 : 1 + k] + ease * u
+        return found[0] + target @ u + ease / 2 * u @ u, slope, found[1 + k :].reshape(k, k) + ease * np.eye(k)
+
+    u, passes = np.zeros(k), 0
+    for ease in (1000 * EASE, EASE):       # the first brings u near the second's
+        value, slope, curve = at(u, ease)
+        step, size = None, 1.0
+        while np.abs(slope).max() > CLOSE:
+            passes += 1
+            if passes > PASSES:
+                raise ValueError(f"the rates are not fitted after {PASSES} passes")
+            if step is None:
+                step, size = -np.linalg.solve(curve, slope), 1.0
+            new = at(u + size * step, ease)
+            if new[0] <= value + 1e-4 * size * slope @ step or np.abs(new[1]).max() < np.abs(slope).max() and size < 1e-3:
+                u, (value, slope, curve), step = u + size * step, new, None
+            else:
+                size /= 2
+    return tuple(u.tolist())
+
+
+def _token_sums(members: DataFrame, sums) -> np.ndarray:
+    """Sum over all documents of ``sums(tokens, posteriors)``: a fixed few numbers a task, added up in Spark."""
+    def run(batches):
+        out = 0.0
+        for batch in batches:
+            t = batch.column(0).to_numpy(zero_copy_only=False).astype(float)
+            out = out + sums(t, np.stack([batch.column(1 + i).to_numpy(zero_copy_only=False) for i in range(len(DOMAINS))], axis=1))
+        if np.ndim(out):
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(out), dtype=np.int32)), pa.array(out)], ["place", "v"])
+
+    found = members.select("tokens", *[f"p_{d}" for d in DOMAINS]).mapInArrow(run, "place int, v double").groupBy("place").agg(F.sum("v").alias("v"))
+    values = found.toArrow().sort_by("place")["v"].to_numpy()
+    return values if len(values) else np.zeros(len(DOMAINS))
+
+
+def _dot(v) -> Column:
+    return sum((F.col(f"p_{d}") * float(x) for d, x in zip(DOMAINS[1:], v[1:])), F.col(f"p_{DOMAINS[0]}") * float(v[0]))
+
+
+def _rate(u, most: float) -> Column:
+    return F.least(F.greatest(1 - _dot(u), F.lit(0.0)), F.lit(float(most)))
+
+
+def with_rates(members: DataFrame, u, most: float = 1.0) -> DataFrame:
+    """``members`` with rate, from the fitted numbers, and the whole number of copies."""
+    return members.withColumn("rate", _rate(u, most)).withColumn("copies", copies(F.col("rate")))
 
 
 def copies(rate_column: Column, seed: int = 20261001) -> Column:
-    """Whole copies of a document: its rate, rounded up with the chance of its fraction, by a hash of doc_id."""
-    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id")), F.lit(1 << 40)) / float(1 << 40)
+    """Whole copies of a document: its rate, rounded up with the chance of its fraction, by a hash of doc_id.
+
+    Rows without an id are told apart by their tokens and posteriors.
+    """
+    own = F.when(F.col("doc_id").isNull(), F.xxhash64("tokens", *[f"p_{d}" for d in DOMAINS]))
+    chance = F.pmod(F.xxhash64(F.lit(seed), F.col("doc_id"), own), F.lit(1 << 40)) / float(1 << 40)
     return (F.floor(rate_column) + (chance < rate_column - F.floor(rate_column)).cast("int")).cast("int")
 
 
@@ -112,7 +147,8 @@ def mix(docs: DataFrame, labels: DataFrame, weights=WEIGHTS, most: float = 1.0,
     labelled documents; token totals and rates cover all rows.  The first domain keeps what it has, the others are
     brought toward their share of the mix; ``most`` bounds a rate (1: nothing is repeated).
 
-    Null or empty text has no tokens and moves no total; a null doc_id is rounded like any other value; rows that
+    Null or empty text has no tokens and moves no total; null doc_ids are rounded by a hash of their tokens
+    and posteriors; rows that
     repeat a doc_id get equal rates for equal texts and the same rounding.  Without labels all domains are equally
     likely.  Empty input gives no rows.  Extra columns are ignored.
     """
