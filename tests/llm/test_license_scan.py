@@ -1,6 +1,8 @@
+import random
 import re
+import re._parser as syntax
 
-from chronowarn.llm.license_scan import BASE, build_rules, license_scan
+from chronowarn.llm.license_scan import BASE, build_rules, gate_index, license_scan, scan
 from chronowarn.llm.queries import QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -54,3 +56,46 @@ def test_awkward_rows(awkward, docs_of):
     assert license_scan(awkward).count() == awkward.count()
     assert license_scan(docs_of([])).collect() == []
     assert len(build_rules()) > 300
+
+
+def made(tree, rng):
+    """A text that a parsed pattern matches, with every choice drawn at random."""
+    out = ""
+    for op, arg in tree:
+        kind = str(op)
+        if kind == "LITERAL":
+            out += chr(arg)
+        elif kind == "IN":
+            first, value = rng.choice(arg)
+            out += chr(value) if str(first) == "LITERAL" else rng.choice("0123456789") if "DIGIT" in str(value) and "NOT" not in str(value) else rng.choice("xyz")
+        elif kind == "SUBPATTERN":
+            out += made(arg[3], rng)
+        elif kind == "BRANCH":
+            out += made(rng.choice(arg[1]), rng)
+        elif kind in ("MAX_REPEAT", "MIN_REPEAT"):
+            out += "".join(made(arg[2], rng) for _ in range(rng.randint(arg[0], min(arg[1], arg[0] + 3))))
+    return out
+
+
+def test_every_rule_opens_its_own_gate():
+    """Texts made from every rule's pattern: the gated scan finds what all rules without gates find."""
+    rng, rules = random.Random(1), build_rules()
+    index, always = gate_index(rules)
+    open_all = list(range(len(rules)))
+    for r in rules:
+        tree = syntax.parse(r.pattern.pattern.decode().removeprefix("(?<= )").removesuffix("(?= )"))
+        for _ in range(4):
+            text = made(tree, rng).encode()
+            found = scan(text, rules, index, always)
+            assert r.name in {d[0] for d in found[1]}, (r.name, text)
+            assert found == scan(text, rules, {}, open_all)
+    assert sum(not r.gate for r in rules) == 0
+
+
+def test_common_notations(docs_of):
+    want = {"gpl v3": "gpl-3.0", "GNU GPL version 3": "gpl-3.0", "LGPL 2.1": "lgpl-2.1", "released under the GPLv3": "gpl-3.0", "license: MIT": "mit", "SPDX-License-Identifier: ECL-2.0": "ecl",
+            "SPDX-License-Identifier: UPL-1.0": "upl", "SPDX-License-Identifier: MS-PL": "ms-pl", "SPDX-License-Identifier: GPL-2.0-or-later": "gpl-2.0-or-later", "SPDX-License-Identifier: MIT-0": "mit-0",
+            "SPDX-License-Identifier: Apache-2.0": "apache-2.0", "Redistribution and use in source and binary forms, with or without modification, are permitted": "bsd",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc"}
+    got = {r["doc_id"]: r["labels"] for r in license_scan(docs_of(list(enumerate(want)))).collect()}
+    assert {text: got[i] for i, text in enumerate(want)} == {text: [label] for text, label in want.items()}
