@@ -1,4 +1,5 @@
 import math
+import zlib
 from collections import Counter
 
 from chronowarn.llm import url_filters as uf
@@ -23,13 +24,16 @@ def ruled(host, path):
 
 
 def brute(urls):
-    """Both models in plain Python: interpolated probabilities, threshold between the classes."""
+    """Both models in plain Python: interpolated probabilities, threshold between held-out examples of the classes."""
     counts = {c: Counter() for c in uf.CLASSES}
     known = {}
     for u in urls:
         known[u] = ruled(*split(u))[1]
+    held = {u: zlib.crc32(u.encode()) % uf.HELD == 0 for u in urls}
+    assert all({held[u] for u in urls if known[u] == c} == {True, False} for c in uf.CLASSES)
+    for u in urls:
         text = uf.OPEN * 4 + u + uf.CLOSE
-        if known[u]:
+        if known[u] and not held[u]:
             for i in range(4, len(text)):
                 for k in range(1, 6):
                     counts[known[u]][text[i + 1 - k : i + 1]] += 1
@@ -54,7 +58,7 @@ def brute(urls):
         scores[u] = sum(logp("allow", r) - logp("block", r) for r in runs) / len(runs)
     stats = []
     for c in uf.CLASSES:
-        own = [scores[u] for u in urls if known[u] == c]
+        own = [scores[u] for u in urls if known[u] == c and held[u]]
         mean = sum(own) / len(own)
         stats.append((mean, math.sqrt(sum((x - mean) ** 2 for x in own) / len(own))))
     (ma, sa), (mb, sb) = stats
@@ -90,3 +94,17 @@ def test_awkward_urls(spark):
     assert uf.url_verdicts(df.where("false")).collect() == []
     one = uf.url_verdicts(df.where("page_id in (7, 15)")).collect()  # examples of one class only
     assert {(r["verdict"], r["score"]) for r in one} == {("allow", None), ("block", None)}
+
+
+def test_windows_are_dealt_to_all_tasks(spark):
+    """Distinct URLs are short, and each makes a window per character: adaptive merging must not put them in one task."""
+    df = spark.range(400).selectExpr("id AS page_id", "concat('http://a', id, '.net/', repeat('xy', 20)) AS url")
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    written, made = uf.written, []
+    try:
+        uf.written = lambda d, label: made.append((label, written(d, label))) or made[-1][1]
+        uf.url_verdicts(df).count()
+    finally:
+        uf.written = written
+    urls = dict(made)["urls"]
+    assert urls.selectExpr("count(distinct uid >> 33) AS tasks").first()["tasks"] == 4
