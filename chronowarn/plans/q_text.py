@@ -6,7 +6,7 @@ from chronowarn.functions import stats, textkeys
 from chronowarn.functions.ordering import linear_quantiles, previous_row
 from chronowarn.operators import corpus, evaluate, splits
 from chronowarn.plans import base
-from chronowarn.plans.registry import cte, query, rnd, sql_rnd, table, with_ctes
+from chronowarn.plans.registry import cte, dealt, query, rnd, sql_rnd, table, with_ctes
 from chronowarn.session import shared_table
 
 
@@ -171,7 +171,7 @@ def sql_template(x):
 @query("p20_text_identities", "P20 P21 P22", f"""
 SELECT doc_id, md5({sql_identity('text')}) AS identity, md5({sql_template('text')}) AS template, sha256(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+', '', 'g')) AS content FROM documents""")
 def _(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "text")
+    d = dealt(table(spark, folder, "documents").select("doc_id", "text"))
     return d.select("doc_id", F.md5(textkeys.text_identity("text")).alias("identity"), F.md5(textkeys.template_identity("text")).alias("template"), textkeys.content_key("text").alias("content"))
 
 
@@ -180,7 +180,7 @@ def family_keys(spark, folder):
 
 
 def _family_keys(spark, folder):
-    d = table(spark, folder, "documents").select("doc_id", "lang", "source", "text")
+    d = dealt(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
     lines = F.split("text", "\n")
     return d.select("doc_id", "lang", "source", F.md5(textkeys.template_identity("text")).alias("whole"), F.md5(textkeys.template_identity(F.get(lines, F.lit(0)))).alias("head"),
                     F.md5(textkeys.template_identity(F.element_at(lines, -1))).alias("tail"))

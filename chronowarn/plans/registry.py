@@ -31,6 +31,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where the scan has fewer splits than cores, for work that costs much per row.
+
+    Decided by the number of splits alone; a table of many files or row groups is left where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def rnd(column, digits: int = 6) -> Column:
     return F.round(column if isinstance(column, Column) else F.col(column), digits)
 

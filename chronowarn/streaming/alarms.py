@@ -10,7 +10,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import DateType, DoubleType, IntegerType, StringType, StructField, StructType
 
 from chronowarn.functions import clock
-from chronowarn.sources.store import append_new
+from chronowarn.sources.store import append_new, table_exists
 
 EPOCH = date(1970, 1, 1)
 OUTPUT = "participant_id long, day date, score double, warning int, status string"
@@ -111,10 +111,7 @@ def resume_tasks(tasks: DataFrame, path: str, score, checkpoint: str):
     def run(batch: DataFrame, _):
         spark = batch.sparkSession
         todo = batch.dropDuplicates(["task_id"])
-        try:
+        if table_exists(spark, path):
             todo = todo.join(spark.read.parquet(path).select("task_id"), "task_id", "left_anti")
-        except Exception as error:
-            if "PATH_NOT_FOUND" not in str(error):
-                raise
         score(todo).write.mode("append").parquet(path)
     return tasks.writeStream.option("checkpointLocation", checkpoint).foreachBatch(run).trigger(availableNow=True).start()
