@@ -6,7 +6,7 @@ from pyspark.sql import Window as W, functions as F, types as T
 
 from chronowarn.functions.stats import with_row
 from chronowarn.functions import clock, textkeys
-from chronowarn.operators import measures, validate, wards, windows
+from chronowarn.operators import inventory, measures, validate, wards, windows
 from chronowarn.plans import base
 from chronowarn.plans.registry import cte, query, rnd, sql_pmod, sql_rnd, table, with_ctes
 from chronowarn.session import checkpoint_root
@@ -411,6 +411,29 @@ def _(spark, folder):
     return pairs.groupBy("source").agg(F.sum("k").alias("rows"), F.count(F.lit(1)).alias("categories"), F.sum("p").alias("distinct_pairs"))
 
 
+@query("a28_expansion_audit", "A28 A27", """
+WITH e AS (SELECT event_type AS source, user_id AS p, event_id AS r, CAST(ts AS DATE) AS day, CASE WHEN event_id % 7 > 0 THEN value END AS v, event_id % 3 = 0 AS tv, event_id % 5 < 3 AS tw FROM events),
+x AS (SELECT DISTINCT doc_id % 311 AS p FROM labels WHERE quality = 0 UNION SELECT e.p FROM e WHERE r IN (SELECT doc_id FROM labels WHERE toxic = 1)),
+c AS (SELECT source, count(*) AS records, count(*) FILTER ((v IS NOT NULL AND tv) OR tw) AS rows_with_traced, count(*) FILTER (v IS NOT NULL AND tv) AS traced_value, count(*) FILTER (tw) AS traced_hour, count(*) FILTER (v IS NOT NULL AND tv AND tw) AS panel_both FROM e GROUP BY 1),
+d AS (SELECT source, p, day, count(*) AS k FROM e GROUP BY ALL),
+i AS (SELECT source, p, day - CAST(row_number() OVER (PARTITION BY source, p ORDER BY day) AS INTEGER) AS run FROM d WHERE k = 1),
+n AS (SELECT source, p, run, count(*) AS n FROM i GROUP BY ALL),
+b AS (SELECT source, p, max(n) AS streak, sum(greatest(n - 2, 0)) AS room FROM n GROUP BY ALL),
+t AS (SELECT source, p, count(*) FILTER (k > 1) AS dup FROM d GROUP BY ALL),
+s AS (SELECT t.source, count(*) AS people, count(x.p) AS exposed_people, count(*) FILTER (streak >= 14) AS people_14_days, count(*) FILTER (streak >= 30) AS people_30_days, sum(dup) AS duplicate_days, sum(coalesce(room, 0)) AS bound FROM t LEFT JOIN b USING (source, p) LEFT JOIN x ON x.p = t.p GROUP BY 1)
+SELECT c.*, CAST(people AS BIGINT) AS people, CAST(exposed_people AS BIGINT) AS exposed_people, CAST(people_14_days AS BIGINT) AS people_14_days, CAST(people_30_days AS BIGINT) AS people_30_days, CAST(duplicate_days AS BIGINT) AS duplicate_days, CAST(bound AS BIGINT) AS window_upper_bound FROM c JOIN s USING (source)""")
+def _(spark, folder):
+    """Traceable cells, exposed people and calendar room of every source of events."""
+    i = F.col("event_id")
+    kind = lambda c: F.when(c, inventory.TRACED).otherwise("constructed")
+    cells = F.map_from_arrays(F.array(F.lit("value"), F.lit("hour")), F.array(F.when(i % 7 > 0, F.col("value")), F.hour("ts").cast("double")))
+    evidence = F.map_from_arrays(F.array(F.lit("value"), F.lit("hour")), F.array(kind(i % 3 == 0), kind(i % 5 < 3)))
+    e = table(spark, folder, "events").select(F.col("event_type").alias("source"), F.col("user_id").alias("participant_id"), i.alias("record_id"), F.to_date("ts").alias("day"), cells.alias("cells"), evidence.alias("evidence"))
+    labels = table(spark, folder, "labels")
+    used = labels.select(F.when(F.col("quality") == 0, F.col("doc_id") % 311).alias("participant_id"), F.when(F.col("toxic") == 1, F.col("doc_id")).alias("record_id"))
+    return inventory.expansion_inventory(e, used, ["value", "hour"], {"both": ("value", "hour")}, future_days=2)
+
+
 @query("a41_capacity_grid", "A41 W8", """
 WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, sum(value) AS wear FROM events GROUP BY ALL), g AS (SELECT w, h FROM (SELECT unnest([0, 60, 120]) AS w), (SELECT unnest([3, 5]) AS h)),
 k AS (SELECT DISTINCT w, user_id, day FROM d JOIN (SELECT DISTINCT w FROM g) ON wear >= w), i AS (SELECT w, user_id, day - CAST(row_number() OVER (PARTITION BY w, user_id ORDER BY day) AS INTEGER) AS x FROM k), r AS (SELECT w, user_id, x, count(*) AS len FROM i GROUP BY ALL)
