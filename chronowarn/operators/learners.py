@@ -29,23 +29,6 @@ def person_weights(rows: DataFrame, person: str) -> DataFrame:
     return rows.join(counts.select(person, (F.lit(1.0) / F.col("__n") / people).alias("weight")), person)
 
 
-def spline_columns(df: DataFrame, features: Sequence[str], knots: dict[str, list[float]]) -> tuple[DataFrame, list[str]]:
-    """Truncated-cubic basis columns at given knots."""
-    names = list(features)
-    for f in features:
-        for i, k in enumerate(knots[f]):
-            name = f"{f}__k{i}"
-            gap = F.greatest(F.col(f) - F.lit(k), F.lit(0.0))
-            df = df.withColumn(name, gap * gap * gap)
-            names.append(name)
-    return df, names
-
-
-def quantile_knots(df: DataFrame, features: Sequence[str], shares=(0.25, 0.5, 0.75)) -> dict[str, list[float]]:
-    values = df.approxQuantile(list(features), list(shares), 0.001)
-    return {f: sorted(set(v)) for f, v in zip(features, values)}
-
-
 def with_indicators(df: DataFrame, features: Sequence[str]) -> tuple[DataFrame, list[str]]:
     """A 0/1 column per feature marking missing cells."""
     names = [f"{f}__missing" for f in features]
