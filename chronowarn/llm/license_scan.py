@@ -87,7 +87,7 @@ WORDS_TOO = ("php", "psf", "ruby", "vim", "curl", "json", "intel", "icu", "x11",
 UNDER = r"(?:licensed|licenced|released|distributed|available|provided|published|covered|offered) under (?:the )?(?:terms (?:of|and conditions of) (?:the )?)?"
 # Words that say little about which license is meant: a gate takes another word where the pattern has one.
 FREQUENT = frozenset("under the terms of and conditions licensed licenced released distributed available provided published covered offered license licence version ver any later or "
-                     "spdx identifier public software open common a an to in is this free permission copy use you may".split())
+                     "spdx identifier public software open common a an to in is this free permission copy use you may only option by nd sa nc non other".split())
 FORMS = 32            # forms of a pattern up to which options are spelt out
 MORE = "\1"           # stands for further words that may follow
 LOOSE = "\0"          # stands for what a pattern leaves open; a word that touches it is no gate
