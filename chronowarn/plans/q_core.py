@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chronowarn.functions import clock
 from chronowarn.operators import alarm, panel, splits
 from chronowarn.plans import base
-from chronowarn.plans.registry import query, rnd, sql_pmod, sql_rnd, table, with_ctes
+from chronowarn.plans.registry import query, rnd, sql_pmod, sql_rnd, sql_turn, table, with_ctes
 
 LINE_CLOCK = "l.l_shipdate + to_minutes(CAST((l_orderkey * 37 + l_linenumber * 11) % 1440 AS BIGINT))"
 
@@ -123,7 +123,7 @@ def _(spark, folder):
 
 
 @query("a07_circular_summary", "A7", with_ctes("obs_day", f"""
-SELECT participant_id, variable, CASE WHEN r > 1e-12 AND n >= 3 THEN {sql_rnd(sql_pmod('m', 24))} END AS circ_mean,
+SELECT participant_id, variable, CASE WHEN r > 1e-12 AND n >= 3 THEN {sql_rnd(sql_turn('m'))} END AS circ_mean,
   CASE WHEN r > 1e-12 AND n >= 3 THEN {sql_rnd('sqrt(-2*ln(least(1.0::DOUBLE, r)))*24/(2*pi())')} END AS circ_sd
 FROM (SELECT participant_id, variable, count(*) AS n, sqrt(avg(cos(h*2*pi()/24))**2 + avg(sin(h*2*pi()/24))**2) AS r,
   atan2(avg(sin(h*2*pi()/24)), avg(cos(h*2*pi()/24)))*24/(2*pi()) AS m FROM obs_day GROUP BY ALL)"""))
