@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from chronowarn.functions.hashing import hash_int, hash_ints
-from chronowarn.operators import discovery, resample
+from chronowarn.operators import discovery, network, resample
 
 SEED = 20261001
 
@@ -93,3 +93,26 @@ def test_block_sums_and_medians_equal_listed_draws(spark, monkeypatch, block):
     want = people.join(listed, "idx").filter("lead IS NOT NULL").groupBy("method", "draw").agg(F.percentile("lead", 0.5, F.col("times")).alias("m"))
     got = resample.resampled_medians(people, cells, "lead", reps, by="method")
     assert sorted(map(tuple, want.collect())) == sorted(map(tuple, got.collect()))
+
+
+def test_deviation_alone_looks_at_no_branch(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    draws = [network.Reference(20, tuple(rng.normal(size=3)), tuple(np.cov(rng.normal(size=(20, 3)), rowvar=False).ravel() * 19)) for _ in range(6)]
+    rows = spark.createDataFrame([(i, rng.normal(size=3).tolist()) for i in range(5)] + [(9, [None, 1.0, 1.0])], "k long, vec array<double>")
+    names = ["k", "deviation_median", "deviation_iqr"]
+    whole = network.resampled_scores(rows, draws, ["k"], list("abc"))
+    alone = network.resampled_scores(rows, draws, ["k"], list("abc"), ("deviation",))
+    assert alone.columns == names
+    assert sorted(map(str, whole.select(*names).collect())) == sorted(map(str, alone.collect()))
+
+
+def test_branches_of_few_and_many_features_agree(monkeypatch):
+    rng = np.random.default_rng(6)
+    dev, delta = np.abs(rng.normal(size=(60, 11))), rng.normal(size=(60, 55)) * 0.1
+    delta[3] = 0.0                                       # no outside: the record is void
+    delta[4, 2] = np.nan
+    many = network.branch_scores(dev, delta)
+    assert np.isnan(many[0][3]) and np.isnan(many[0][4]) and np.isfinite(np.delete(many[0], [3, 4])).all()
+    few = network.branch_scores(dev[:, :5], delta[:, :10])
+    looked_up = network._member_tables(5)[1](np.array([0b10011]))
+    assert looked_up.sum() == 3 and (few[2].sum(1)[np.isfinite(few[0])] < 5).all()
