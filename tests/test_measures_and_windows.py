@@ -88,3 +88,35 @@ def test_weighted_quantile_left_inverse(spark):
     df = spark.createDataFrame([(1.0, 0.5), (2.0, 0.25), (3.0, 0.25)], "x double, w double")
     assert weighted_quantile(df, "x", "w", 0.5).first()["quantile"] == 1.0
     assert weighted_quantile(df, "x", "w", 0.75).first()["quantile"] == 2.0
+
+
+def _outcome_days(spark):
+    """Two people over 12 days; the second lacks a day and has an incomplete profile and a missing clock."""
+    rng, rows = np.random.default_rng(5), []
+    for person in (1, 2):
+        for i in range(12):
+            if (person, i) == (2, 4):
+                continue
+            hours = [float(v) for v in rng.integers(0, 4, 24)]
+            hours[3] = None if (person, i) == (2, 7) else hours[3]
+            rows.append((person, date(2025, 1, 1) + timedelta(days=i), *map(float, rng.uniform(0, 24, 2)), None if (person, i) == (1, 9) else 22.0, hours))
+    return spark.createDataFrame(rows, "participant_id long, day date, midpoint_h double, first_h double, last_h double, hours array<double>")
+
+
+def test_rolling_outcomes_equal_a_loop_over_windows(spark):
+    rows = {(r["participant_id"], r["day"]): r for r in _outcome_days(spark).collect()}
+    for r in windows.rolling_outcomes(windows.calendar_spine(_outcome_days(spark))).collect():
+        span = [rows[k] for k in ((r["participant_id"], r["day"] - timedelta(days=i)) for i in range(7)) if k in rows]
+        whole = np.array([d["hours"] for d in span if None not in d["hours"]])
+        mean = lambda v: np.sqrt(-2 * np.log(abs(np.exp(2j * np.pi * np.array(v) / 24).mean()))) * 24 / (2 * np.pi) if len(v) >= 6 else None
+        pairs = [d for d in span if d["first_h"] is not None and d["last_h"] is not None]
+        a1 = 1 - len(whole) * ((whole.mean(0) - whole.mean()) ** 2).sum() / ((whole - whole.mean()) ** 2).sum() if len(whole) >= 6 else None
+        want = mean([d["midpoint_h"] for d in span]), max(mean([d["first_h"] for d in pairs]), mean([d["last_h"] for d in pairs])) if len(pairs) >= 6 else None, a1
+        for got, expected in zip((r["S1"], r["E1"], r["A1"]), want):
+            assert got is None and expected is None or np.isclose(got, expected, atol=1e-7)
+
+
+def test_rolling_outcomes_gather_no_profiles_and_use_every_core(spark):
+    out = windows.rolling_outcomes(windows.calendar_spine(_outcome_days(spark)))
+    assert "collect_list" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert out.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
