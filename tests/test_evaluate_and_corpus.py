@@ -40,6 +40,47 @@ def test_sweep_equals_replay_at_every_threshold(spark):
             assert m[c] == sweep[t][c], (t, c)
 
 
+def test_steps_replay_side_by_side(spark, monkeypatch):
+    """Steps of every person against a plain loop, in blocks of three pairs, and without a copy of the history per score."""
+    monkeypatch.setattr(evaluate, "PAIRS", 3)
+    days, _ = cohort(spark, seed=3, people=6, length=12)
+    odd = days_frame(spark, [(50, date(2025, 1, 1), datetime(2025, 1, 1, 12), float("nan"), 0, None), (50, date(2025, 1, 2), datetime(2025, 1, 2, 12), float("nan"), 1, None),
+                             (50, date(2025, 1, 3), datetime(2025, 1, 3, 12), -1.0, None, None), (51, date(2025, 1, 1), datetime(2025, 1, 1, 12), None, 1, None)])
+    days = days.unionByName(odd).withColumn("part", F.col("participant_id") % 2)
+    steps = evaluate.threshold_steps(days, by=["part"])
+    assert "Generate" not in steps._jdf.queryExecution().optimizedPlan().toString()
+    got = {}
+    for r in steps.collect():
+        key = r["part"], "nan" if np.isnan(r["threshold"]) else r["threshold"]
+        got[key] = got.get(key, np.zeros(len(evaluate.SWEEP), int)) + [r[c] for c in evaluate.SWEEP]
+    want = {}
+    above = lambda a, b: a > b or (np.isnan(a) and not np.isnan(b))
+    people = {}
+    for r in days.orderBy("day").collect():
+        people.setdefault((r["part"], r["participant_id"]), []).append(r)
+    for (part, _), rows in people.items():
+        before = np.zeros(len(evaluate.SWEEP), int)
+        own = {"nan" if np.isnan(r["score"]) else r["score"] for r in rows if r["score"] is not None} | {0.0}
+        for t in sorted(own, key=lambda v: np.inf if v == "nan" else v):
+            c, run, last, alarm = dict.fromkeys(evaluate.SWEEP, 0), 0, None, None
+            for r in rows:
+                s, y, d = r["score"], r["label"], r["day"]
+                risk = s is not None and above(s, np.nan if t == "nan" else t)
+                run = (run if last == d - timedelta(days=1) else 0) + 1 if risk else 0
+                fires = run >= 2 and (alarm is None or (d - alarm).days >= 7)
+                if s is not None and y is not None:
+                    c[("tp" if risk else "fn") if y else ("fp" if risk else "tn")] += 1
+                if fires:
+                    run, alarm = 0, d
+                    c["unknown_alarms" if y is None else "true_alarms" if y else "false_alarms"] += 1
+                    c["detected"] |= int(y == 1)
+                last = d
+            now = np.array([c[k] for k in evaluate.SWEEP])
+            want[part, t] = want.get((part, t), 0) + now - before
+            before = now
+    assert {k: v.tolist() for k, v in got.items()} == {k: v.tolist() for k, v in want.items()}
+
+
 def test_events_without_forecasts_count(spark):
     days, registered = cohort(spark, people=2)
     assert evaluate.registry_conflicts(days, registered).count() == 0
