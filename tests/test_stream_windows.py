@@ -103,3 +103,25 @@ def test_pieces_equal_batch_scores(spark):
         assert all((got[k] is None) == (want[k] is None) and (got[k] is None or abs(got[k] - want[k]) < 1e-9) for k in MODULES)
     assert window_reason(np.array([False, True, True]), WindowRule(3, 2, 1)) == (2, 1, None)
     assert window_reason(np.array([True, True, False]), WindowRule(3, 2, 1)) == (2, 1, "missing_target_day")
+
+
+def test_a_person_has_one_timer_at_a_time():
+    """Rows set a timer for the earliest open day only; closing sets the next one."""
+    from types import SimpleNamespace
+    import pandas as pd
+    from chronowarn.streaming.windows import WindowProcessor
+    box, timers = {}, []
+    state = SimpleNamespace(exists=lambda: "v" in box, get=lambda: box["v"], update=lambda v: box.update(v=v))
+    p = WindowProcessor(RULES, MODULES, 5)
+    p.init(SimpleNamespace(getValueState=lambda *_: state, registerTimer=timers.append))
+    days = [date(2026, 1, 1) + timedelta(days=k) for k in range(40)]
+    rows = pd.DataFrame({"day": pd.to_datetime(pd.Series(days)), "at": [0] * 40, "vec": [np.array([k, k * k % 7, -k, 1.0 + k % 3]) for k in range(40)], "timezone": "UTC"})
+    assert list(p.handleInputRows((1,), iter([rows.iloc[5:]]), None)) == [] and len(timers) == 1
+    assert list(p.handleInputRows((1,), iter([rows.iloc[:5]]), None)) == [] and len(timers) == 2 and timers[1] < timers[0]
+    middle = int(datetime(2026, 1, 21, tzinfo=timezone.utc).timestamp() * 1000)
+    clock_ = lambda now: SimpleNamespace(getCurrentWatermarkInMs=lambda: now)
+    first = list(p.handleExpiredTimer((1,), clock_(middle), None))[0]
+    assert len(timers) == 3 and timers[2] > middle and first["day"].nunique() == 19
+    assert list(p.handleExpiredTimer((1,), clock_(middle), None)) == []
+    second = list(p.handleExpiredTimer((1,), clock_(10**14), None))[0]
+    assert sorted({*first["day"], *second["day"]}) == days and len(first) + len(second) == 80
