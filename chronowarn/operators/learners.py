@@ -6,7 +6,11 @@ The promise is the selection procedure and the data handling; coefficients follo
 
 import math
 from collections.abc import Sequence
+from dataclasses import dataclass
+from functools import reduce
+from multiprocessing.pool import ThreadPool
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import Imputer, StandardScaler, VectorAssembler
@@ -16,8 +20,9 @@ from pyspark.sql import DataFrame, functions as F
 
 from chronowarn.operators import evaluate
 from chronowarn.operators.splits import grouped_stratified_folds
-from chronowarn.session import materialise
+from chronowarn.session import materialise, spread
 
+FITS = 4              # fits that run at the same time
 
 def person_weights(rows: DataFrame, person: str) -> DataFrame:
     """Total weight one, shared equally by people and then by each person's rows.
@@ -53,30 +58,67 @@ def probability(df: DataFrame, model) -> DataFrame:
     return out.withColumn("p", vector_to_array(F.col(col))[1]).select(*df.columns, "p")
 
 
+@dataclass(frozen=True)
+class FoldRows:
+    """Rows with missing marks, the person's fold and number of rows (``__n``), written once for all fits."""
+
+    data: DataFrame
+    indicators: list[str]
+    people: dict[int, int]     # people per fold
+
+    def training(self, fold: int) -> DataFrame:
+        """Rows of the other folds; their people share a total weight of one, a person's rows share the person's."""
+        people = sum(n for k, n in self.people.items() if k != fold)
+        return self.data.filter(F.col("fold") != fold).withColumn("weight", F.lit(1.0) / F.col("__n") / people)
+
+    def held(self, fold: int) -> DataFrame:
+        return self.data.filter(F.col("fold") == fold)
+
+
+def fold_rows(rows: DataFrame, features: Sequence[str], *, person: str, label: str, seed: int, folds: int) -> FoldRows:
+    people = grouped_stratified_folds(rows, person, label, seed, folds).select(person, "fold")
+    people = materialise(people.join(rows.groupBy(person).agg(F.count(F.lit(1)).alias("__n")), person), "fold-people")
+    data, indicators = with_indicators(rows.join(people, person), features)
+    counts = {r["fold"]: r["count"] for r in people.groupBy("fold").count().toLocalIterator()}   # a row per fold
+    return FoldRows(materialise(spread(data), "folds"), indicators, counts)
+
+
+def side_by_side(spark, calls: Sequence) -> list:
+    """Results of independent fits, ``FITS`` of them at a time: one fit alone is many short jobs."""
+    with ThreadPool(max(1, min(FITS, len(calls)))) as pool:
+        return pool.map(inheritable_thread_target(spark)(lambda call: call()), calls, chunksize=1)
+
+
+def fold_scores(rows: FoldRows, spec: dict, features: Sequence[str], *, label: str, seed: int, folds: int) -> list[DataFrame]:
+    """Per fold, its rows with ``p`` of the model that was fitted on the other folds."""
+    fits = [lambda k=k: learner(spec, features, rows.indicators, label, seed=seed).fit(rows.training(k)) for k in range(folds)]
+    return [probability(rows.held(k), model) for k, model in enumerate(side_by_side(rows.data.sparkSession, fits))]
+
+
 def out_of_fold(rows: DataFrame, spec: dict, features: Sequence[str], *, person: str, label: str, seed: int, folds: int) -> DataFrame:
     """Predictions of models that never saw the person, fold by fold."""
-    assigned = grouped_stratified_folds(rows, person, label, seed, folds).select(person, "fold")
-    data, indicators = with_indicators(rows.join(assigned, person), features)
-    data = materialise(data, "folds")
-    parts = None
-    for k in range(folds):
-        train = materialise(person_weights(data.filter(F.col("fold") != k), person), "train")
-        held = data.filter(F.col("fold") == k)
-        scored = probability(held, learner(spec, features, indicators, label, seed=seed).fit(train)).select(*rows.columns, "fold", "p")
-        parts = scored if parts is None else parts.unionByName(scored)
-    return materialise(parts, "out-of-fold")
+    dealt = fold_rows(rows, features, person=person, label=label, seed=seed, folds=folds)
+    parts = fold_scores(dealt, spec, features, label=label, seed=seed, folds=folds)
+    return materialise(reduce(DataFrame.unionByName, [part.select(*rows.columns, "fold", "p") for part in parts]), "out-of-fold")
 
 
 def select_learner(rows: DataFrame, specs: Sequence[dict], features: Sequence[str], *, person: str, label: str, seed: int, folds: int = 3) -> tuple[dict, list[tuple[dict, float]]]:
-    """Specification with the smallest mean person-weighted fold log loss; ties go to the earlier one."""
-    trials = []
-    for spec in specs:
-        oof = out_of_fold(rows, spec, features, person=person, label=label, seed=seed, folds=folds)
-        n = oof.groupBy("fold", person).agg(F.count(F.lit(1)).alias("__n"))
-        y, p = F.col(label), F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
-        loss = -(y * F.log(p) + (1 - y) * F.log(1 - p))
-        per = oof.join(n, ["fold", person]).groupBy("fold").agg((F.sum(loss / F.col("__n")) / F.sum(1 / F.col("__n"))).alias("loss"))
-        trials.append((spec, per.agg(F.avg("loss")).first()[0]))
+    """Specification with the smallest mean person-weighted fold log loss; ties go to the earlier one.
+
+    All specifications use the same written folds; a fold's loss is one sum over its scored rows.
+    """
+    dealt = fold_rows(rows, features, person=person, label=label, seed=seed, folds=folds)
+    y, p = F.col(label), F.least(F.greatest("p", F.lit(1e-15)), F.lit(1 - 1e-15))
+    loss = F.sum(-(y * F.log(p) + (1 - y) * F.log(1 - p)) / F.col("__n")) / F.sum(1 / F.col("__n"))
+
+    def fold_loss(spec, k):
+        model = learner(spec, features, dealt.indicators, label, seed=seed).fit(dealt.training(k))
+        return probability(dealt.held(k), model).agg(loss).first()[0]
+
+    calls = [lambda spec=spec, k=k: fold_loss(spec, k) for spec in specs for k in sorted(dealt.people)]
+    losses = side_by_side(rows.sparkSession, calls)
+    n = len(dealt.people)
+    trials = [(spec, math.fsum(losses[i * n : (i + 1) * n]) / n) for i, spec in enumerate(specs)]
     best = min(range(len(trials)), key=lambda i: (round(trials[i][1], 12), i))
     return trials[best][0], trials
 
