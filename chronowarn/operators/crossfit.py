@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from chronowarn.operators import evaluate
 from chronowarn.operators.splits import grouped_stratified_folds
-from chronowarn.session import materialise
+from chronowarn.session import materialise, spread
 
 PASSES = 100
 CLOSE = 1e-9          # largest slope of the standardised loss at the end
@@ -147,12 +147,17 @@ def design(setting: Setting, held: int | None, moments: dict[int, np.ndarray]) -
     return Columns(setting.family, tuple(mean), missing, tuple(low), tuple(high), setting.knots, setting.degree)
 
 
-def _grouped(keys: list[Key]) -> list[tuple[Columns, list[tuple[int, Key]]]]:
-    """Keys that share their columns, so that those are built once."""
-    found: dict[Columns, list] = {}
+def _grouped(keys: list[Key]) -> list[tuple[Columns, int | None, list[tuple[int, Key]]]]:
+    """Keys that share their columns and their rows, so that those are built once."""
+    found: dict[tuple, list] = {}
     for i, k in enumerate(keys):
-        found.setdefault(k.columns, []).append((i, k))
-    return list(found.items())
+        found.setdefault((k.columns, k.held), []).append((i, k))
+    return [(columns, held, members) for (columns, held), members in found.items()]
+
+
+def _seen(fold: np.ndarray, held: int | None):
+    """Rows that a key is fitted on."""
+    return slice(None) if held is None else fold != held
 
 
 def _training(keys: list[Key], rows: DataFrame) -> None:
@@ -160,11 +165,12 @@ def _training(keys: list[Key], rows: DataFrame) -> None:
     groups = _grouped(keys)
 
     def per_key(x, y, w, fold):
-        for columns, members in groups:
-            t = columns.matrix(x)
-            for i, key in members:
-                use = w * (fold != (-1 if key.held is None else key.held))
-                yield i, np.r_[use @ t, use @ (t * t), use @ y]
+        for columns, held, members in groups:
+            on = _seen(fold, held)
+            t, use = columns.matrix(x[on]), w[on]
+            sums = np.r_[use @ t, use @ (t * t), use @ y[on]]
+            for i, _ in members:
+                yield i, sums
 
     for i, v in _sums(rows, 0, per_key).items():
         k = (len(v) - 1) // 2
@@ -208,18 +214,18 @@ def fit_keys(keys: list[Key], rows: DataFrame) -> list[Key]:
     old: dict[int, tuple] = {}
     trial = {i: k.beta for i, k in enumerate(keys)}
     for _ in range(PASSES):
-        groups = [(c, [(i, replace(k, beta=trial[i])) for i, k in members if i in trial]) for c, members in _grouped(keys)]
-        groups = [g for g in groups if g[1]]
+        groups = [(c, held, [(i, replace(k, beta=trial[i]).raw()) for i, k in members if i in trial]) for c, held, members in _grouped(keys)]
+        groups = [g for g in groups if g[2]]
 
         def per_key(x, y, w, fold, groups=groups):
-            for columns, members in groups:
-                t = columns.matrix(x)
-                for i, key in members:
-                    use = w * (fold != (-1 if key.held is None else key.held))
-                    eta = t @ key.raw()
+            for columns, held, members in groups:
+                on = _seen(fold, held)
+                t, use, true = columns.matrix(x[on]), w[on], y[on]
+                for i, raw in members:
+                    eta = t @ raw
                     p = 1 / (1 + np.exp(-eta))
                     curve = (t * (use * p * (1 - p))[:, None]).T @ t
-                    yield i, np.r_[use.sum(), use @ (np.logaddexp(0, eta) - y * eta), t.T @ (use * (p - y)), curve.ravel()]
+                    yield i, np.r_[use.sum(), use @ (np.logaddexp(0, eta) - true * eta), t.T @ (use * (p - true)), curve.ravel()]
 
         for i, v in _sums(rows, 0, per_key).items():
             key, beta, on = keys[i], trial[i], active[i]
@@ -258,13 +264,12 @@ def held_out(keys: list[Key], rows: DataFrame, carry: Sequence[str]) -> DataFram
 
     def run(batches):
         for part, x, y, w, fold in _rows(batches):
-            for columns, members in groups:
-                t = columns.matrix(x)
+            for columns, held, members in groups:
+                mine = np.flatnonzero(fold == held)
+                t, rest = columns.matrix(x[mine]), part.take(pa.array(mine))
                 for _, key in members:
-                    mine = np.flatnonzero(fold == key.held)
-                    rest = part.take(pa.array(mine))
-                    p = 1 / (1 + np.exp(-(t[mine] @ key.raw())))
-                    yield pa.RecordBatch.from_arrays([*[rest.column(4 + i) for i in range(len(carry))], rest.column(1), rest.column(3), pa.array([key.setting.name] * len(mine)), pa.array(p)], names)
+                    p = 1 / (1 + np.exp(-(t @ key.raw())))
+                    yield pa.RecordBatch.from_arrays([*[rest.column(4 + i) for i in range(len(carry))], rest.column(1), rest.column(3), pa.array([key.setting.name] * len(mine), pa.string()), pa.array(p)], names)
 
     kinds = dict(rows.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*carry, "y", "fold")) + ", setting string, p double"
@@ -272,13 +277,16 @@ def held_out(keys: list[Key], rows: DataFrame, carry: Sequence[str]) -> DataFram
 
 
 def as_rows(examples: DataFrame, features: Sequence[str], *, person: str, label: str, fold: str = "fold", weigh_people: bool, carry: Sequence[str] = ()) -> DataFrame:
-    """x (missing: NaN), y, w and fold of every example; with ``weigh_people`` a person's rows share a weight of one."""
+    """x (missing: NaN), y, w and fold of every example; with ``weigh_people`` a person's rows share a weight of one.
+
+    Every pass of a fit reads this table, so it is spread over the cores.
+    """
     x = F.array(*[F.coalesce(F.col(f).cast("double"), F.lit(float("nan"))) for f in features])
     out = examples.select(x.alias("x"), F.col(label).cast("double").alias("y"), F.col(fold).cast("int").alias("fold"), *dict.fromkeys((person, *carry)))
     if not weigh_people:
-        return materialise(out.withColumn("w", F.lit(1.0)), "crossfit")
+        return materialise(spread(out.withColumn("w", F.lit(1.0))), "crossfit")
     counts = out.groupBy(person).agg((F.lit(1.0) / F.count(F.lit(1))).alias("w"))
-    return materialise(out.join(counts, person), "crossfit")
+    return materialise(spread(out.join(counts, person)), "crossfit")
 
 
 def fit_grid(rows: DataFrame, settings: Sequence[Setting], folds: int, features: int, whole: bool = False) -> list[Key]:

@@ -6,7 +6,6 @@ from chronowarn.functions import textkeys
 from chronowarn.functions.ordering import linear_quantiles
 from chronowarn.functions.hashing import hash_int
 from chronowarn.operators import crossfit, evaluate, isotonic, learners, network, windows
-from chronowarn.operators.splits import grouped_stratified_folds
 from chronowarn.plans import base, q_evaluate, q_text
 from chronowarn.plans.registry import query, rnd, table, with_ctes, sql_rnd
 from chronowarn.session import materialise, shared_table
@@ -64,12 +63,11 @@ PENALTIES, STRENGTHS = (0.001, 0.01, 0.1), (0.0, 0.25, 0.5, 0.75)
 def _(spark, folder):
     """Logistic, spline-logistic and boosted trees by mean average precision over the same person folds."""
     rows = examples(spark, folder)
-    folds = grouped_stratified_folds(rows, "participant_id", "label", base.SEED, 3).select("participant_id", "fold")
-    assigned = materialise(rows.join(folds, "participant_id"), "assigned")
-    scored = crossfit.cross_fitted(assigned, NAMES, [*crossfit.LOGISTIC, *crossfit.SPLINES], person="participant_id", label="label")
-    trees = learners.out_of_fold(rows, SPECS[2], NAMES, person="participant_id", label="label", seed=base.SEED, folds=3)
-    trees = trees.select("participant_id", F.col("label").cast("double").alias("y"), "fold", F.lit("boosted_trees depth=2").alias("setting"), "p")
-    found = crossfit.best_settings(crossfit.precision_by_fold(materialise(scored.unionByName(trees), "out-of-fold")), F.substring_index("setting", " ", 1))
+    dealt = learners.fold_rows(rows, NAMES, person="participant_id", label="label", seed=base.SEED, folds=3)
+    scored = crossfit.cross_fitted(dealt.data, NAMES, [*crossfit.LOGISTIC, *crossfit.SPLINES], person="participant_id", label="label")
+    for trees in learners.fold_scores(dealt, SPECS[2], NAMES, label="label", seed=base.SEED, folds=3):
+        scored = scored.unionByName(trees.select("participant_id", F.col("label").cast("double").alias("y"), "fold", F.lit("boosted_trees depth=2").alias("setting"), "p"))
+    found = crossfit.best_settings(crossfit.precision_by_fold(materialise(scored, "out-of-fold")), F.substring_index("setting", " ", 1))
     return found.select("family", "setting", rnd("mean_precision", 6).alias("mean_precision"), "best_of_family", "selected")
 
 
