@@ -1,10 +1,11 @@
 """Text identities, templates and spans as columns."""
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 # Slot pattern for numbers, Chinese numerals and the units they precede.
 NUMBER_SLOT = r"\d+(?:[.:：点]\d+)*"
-NUMERAL_SLOT = r"[零〇一二两三四五六七八九十百千万]+(?=小时|分钟|点|毫升|毫克|次|人|杯|口|千卡)"
+# The range around the numerals (their least and greatest code point) spares other characters the search among them.
+NUMERAL_SLOT = r"[\x{3007}-\x{96f6}&&[零〇一二两三四五六七八九十百千万]]+(?=小时|分钟|点|毫升|毫克|次|人|杯|口|千卡)"
 CJK = r"[\x{3400}-\x{9fff}]"
 MAX_TEXT = 10000
 
@@ -20,8 +21,23 @@ def text_identity(text) -> Column:
 
 def template_identity(text) -> Column:
     """Text identity with number slots collapsed to one mark."""
-    slotted = F.regexp_replace(F.regexp_replace(_col(text), NUMBER_SLOT, "#"), NUMERAL_SLOT, "#")
-    return F.lower(F.regexp_replace(slotted, r"[^\p{L}\p{N}_#]+", ""))
+    return F.lower(F.regexp_replace(_slotted(text), r"[^\p{L}\p{N}_#]+", ""))
+
+
+def _slotted(text) -> Column:
+    return F.regexp_replace(F.regexp_replace(_col(text), NUMBER_SLOT, "#"), NUMERAL_SLOT, "#")
+
+
+def template_parts(rows: DataFrame, text: str) -> DataFrame:
+    """``rows`` without ``text``, with the template identity of the whole text, its first line and its last one.
+
+    A slot never spans lines, so the patterns run once over the text with its line ends kept.  Lower case comes
+    last, since it depends on neighbouring letters.
+    """
+    kept = [c for c in rows.columns if c != text]
+    bare = rows.select(*kept, F.regexp_replace(_slotted(text), r"[^\p{L}\p{N}_#\n]+", "").alias("__bare"))
+    lines = F.split("__bare", "\n")
+    return bare.select(*kept, F.lower(F.replace("__bare", F.lit("\n"), F.lit(""))).alias("whole"), F.lower(F.get(lines, F.lit(0))).alias("head"), F.lower(F.element_at(lines, -1)).alias("tail"))
 
 
 def content_key(text) -> Column:

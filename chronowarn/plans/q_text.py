@@ -181,9 +181,7 @@ def family_keys(spark, folder):
 
 def _family_keys(spark, folder):
     d = dealt(table(spark, folder, "documents").select("doc_id", "lang", "source", "text"))
-    lines = F.split("text", "\n")
-    return d.select("doc_id", "lang", "source", F.md5(textkeys.template_identity("text")).alias("whole"), F.md5(textkeys.template_identity(F.get(lines, F.lit(0)))).alias("head"),
-                    F.md5(textkeys.template_identity(F.element_at(lines, -1))).alias("tail"))
+    return textkeys.template_parts(d, "text").select("doc_id", "lang", "source", *[F.md5(c).alias(c) for c in ("whole", "head", "tail")])
 
 
 def families(spark, folder):
