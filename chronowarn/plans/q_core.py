@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chronowarn.functions import clock
 from chronowarn.operators import alarm, panel, splits
 from chronowarn.plans import base
-from chronowarn.plans.registry import query, rnd, sql_pmod, sql_rnd, sql_turn, table, with_ctes
+from chronowarn.plans.registry import query, rnd, sql_rnd, sql_turn, table, with_ctes
 
 LINE_CLOCK = "l.l_shipdate + to_minutes(CAST((l_orderkey * 37 + l_linenumber * 11) % 1440 AS BIGINT))"
 
@@ -81,7 +81,7 @@ def _(spark, folder):
 
 
 @query("p05_clock_delta", "P5", with_ctes("daily", f"""
-SELECT participant_id, day, {sql_rnd(sql_pmod('last_h - first_h + 12', 24) + ' - 12')} AS delta FROM daily"""))
+SELECT participant_id, day, {sql_rnd(sql_turn('last_h - first_h + 12', 24) + ' - 12')} AS delta FROM daily"""))
 def _(spark, folder):
     return base.daily(spark, folder).select("participant_id", "day", rnd(clock.clock_delta("last_h", "first_h")).alias("delta"))
 
