@@ -63,3 +63,9 @@ def test_half_a_turn_is_negative_whatever_its_rounding(spark):
 def test_a_day_of_twelve_hours_has_one_delta(spark, folder):
     rows = [r for r in both(spark, folder, "p05_clock_delta") if r["participant_id"] >= 408]
     assert len(rows) == 120 and {r["delta"] for r in rows} == {-12.0}
+
+
+def test_a_day_without_a_score_does_not_qualify(spark, folder):
+    rows = {(r["participant_id"], r["day"].day): r for r in both(spark, folder, "w15_persistence_runs")}
+    day = rows[400, 8]
+    assert day["qualifies"] is False and day["confirmed"] is False and day["run_start"] is None
